@@ -10,7 +10,7 @@ are packed each for itself; an empty table gives no bins; other columns are igno
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 from .bpe import TOKENIZER_DIR, Encoder
 from .common import text_bytes, tune
 
-#: Permitted sequence lengths of the production query, with the cost of a bin of each: its slots, plus a fixed part for a
-#: sequence's own overhead.
+#: Permitted sequence lengths of the production query.
 SIZES = (512, 1024, 2048, 4096, 8192)
-BIN_COST = 64
+
+
+def bin_cost(size: int) -> float:
+    """What a bin of this length costs: a fixed part, its slots, and attention, which grows with the square."""
+    return 64 + size + size * size / 16384
 
 
 def n_words(text: str = "text") -> Column:
@@ -38,7 +41,7 @@ def split_length(length: int, most: int) -> list[int]:
     return [most] * full + [rest] * (rest > 0)
 
 
-def variable_best_fit(lengths: Sequence[int], sizes: Sequence[int] = SIZES, bin_cost: int = BIN_COST) -> tuple[list[int], list[int], list[int]]:
+def variable_best_fit(lengths: Sequence[int], sizes: Sequence[int] = SIZES, cost: Callable[[int], float] = bin_cost) -> tuple[list[int], list[int], list[int]]:
     """(bin, offset) of each length, in order, and the capacity of each bin.
 
     Lengths are taken in decreasing order. Each goes to the open bin that it fills best, of whatever size. Where none has
@@ -57,7 +60,7 @@ def variable_best_fit(lengths: Sequence[int], sizes: Sequence[int] = SIZES, bin_
         if at < len(room):
             free, b = room.pop(at)
         else:
-            free = min((s for s in sizes if s >= n), key=lambda s: ((s + bin_cost) / min(s, max(n, left)), s))
+            free = min((s for s in sizes if s >= n), key=lambda s: (cost(s) / min(s, max(n, left)), s))
             b = len(used)
             used.append(0)
             capacity.append(free)
@@ -127,7 +130,7 @@ def _groups(docs: DataFrame, per_group: int) -> int:
     return max(1, -(-docs.count() // per_group))
 
 
-def pack(docs: DataFrame, length: Column | None = None, sizes: Sequence[int] = SIZES, bin_cost: int = BIN_COST, per_group: int = 20_000, seed: int = 1) -> DataFrame:
+def pack(docs: DataFrame, length: Column | None = None, sizes: Sequence[int] = SIZES, cost: Callable[[int], float] = bin_cost, per_group: int = 20_000, seed: int = 1) -> DataFrame:
     """One row for each part of a document: doc_id, part, n_tokens, bin_id, bin_offset, capacity.
 
     length: a document's tokens; by default its words and an end mark.
@@ -145,7 +148,7 @@ def pack(docs: DataFrame, length: Column | None = None, sizes: Sequence[int] = S
                 docs_.append(d)
                 parts.append(p)
                 sizes_.append(m)
-        bins, offsets, capacity = variable_best_fit(sizes_, sizes, bin_cost)
+        bins, offsets, capacity = variable_best_fit(sizes_, sizes, cost)
         first = int(pdf["g"].iloc[0]) << 32
         out = pd.DataFrame({"doc_id": pd.array([None if d != d or d is None else int(d) for d in docs_], "Int64"), "part": parts, "n_tokens": sizes_, "bin_id": bins, "bin_offset": offsets})
         out["capacity"] = [capacity[b] for b in bins]
