@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, shuffle, suffix
+from . import minhash, packing, quality, shuffle, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: base counts, the likelihood ratio's sum in millionths, and the verdict."""
+    return quality.assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select("doc_id", *quality.ADDED)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: bytes in all and removed, removed runs, and the digest of what stays."""
     return suffix.digest(suffix.remove_repeats(_read(spark, sf_dir, "documents"), length=200))
@@ -38,5 +43,5 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle.digest(shuffle.shuffle(_read(spark, sf_dir, "documents"), shards=8))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_token_output, op4_minhash_near_dedup, op9_suffix_dedup, op10_external_shuffle)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_token_output, op4_minhash_near_dedup, op6_quality_rules, op9_suffix_dedup, op10_external_shuffle)}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality.ORACLE}
