@@ -120,11 +120,30 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(run, "a long, b long")
 
 
+def shared_sizes(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Rows (id, own): how many of a document's shingles no other document of `ids` has. Ids without such are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_bytes(batch.column(1))
+            words, bounds = word_hashes(data, at)
+            sets = [shingle_set(words[bounds[i] : bounds[i + 1]], k) for i in range(len(at) - 1)]
+            if sets:
+                i = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(i)], ["h", "id"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    once = texts.mapInArrow(run, "h long, id long").groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other")
+    return once.groupBy("id").agg(F.count("*").alias("own"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, halves: int = 10) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
-    First each table's members are checked against the table's smallest member. Tables whose members then still lie in
-    several components have all their pairs across components checked, so no link between candidates is lost.
+    First each table's members are checked against the table's most central one (that shares the most table entries
+    with others), which most members of a group of copies resemble best. Tables whose members then lie in several
+    components have their pairs across components checked too, less those that can't be links: the shingles that a
+    document shares with no other bound its intersection with each of them, so no link between candidates is lost.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -137,31 +156,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, halves: int
         .select(F.xxhash64("x", "y", "i", "j").alias("key"), F.col("rep").alias("id"))
     )
     members = cut(_members(keys), "members")
-    pivots = members.groupBy("key").agg(F.min("id").alias("a"))
-    first = members.join(pivots, "key").filter("a < id").select("a", F.col("id").alias("b")).distinct()
-    tried = cut(first, "pairs")
-    links = cut(verified(docs, tried, k, percent), "links")
+    central = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("id").agg(F.sum("n").alias("weight"))
+    pivots = members.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("a"))
+    first = members.join(pivots, "key").filter("a != id").select("a", F.col("id").alias("b")).distinct()
+    links = cut(verified(docs, first, k, percent), "links")
     comp = components(links)
     # tables that several components share
     of = members.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = of.join(mixed, "key", "left_semi")
-    again = (
-        open_.select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-        .join(open_.select("key", F.col("id").alias("b"), F.col("c").alias("cb")), "key")
-        .filter("ca != cb and a < b")
-        .select("a", "b")
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    again = cut(again, "pairs")
+    open_ = cut(of.join(mixed, "key", "left_semi"), "open")
+    own = shared_sizes(docs, open_.select("id").distinct(), k)
+    size = reps.groupBy(F.col("rep").alias("id")).agg(F.min("n_shingles").alias("n"))
+    size = size.join(open_.select("id").distinct(), "id").join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("r"))
+    sized = cut(open_.join(size, "id"), "sized")
+    least = sized.groupBy("key").agg(F.min("n").alias("m"))
+    # r bounds every intersection; the smallest member bounds the union
+    hope = sized.join(least, "key").filter(100 * F.col("r") >= percent * (F.col("n") + F.greatest("m", "r") - F.col("r"))).select("key", "id", "c", "n", "r")
+    x, y = hope.toDF("key", "a", "ca", "na", "ra"), hope.toDF("key", "b", "cb", "nb", "rb")
+    most = F.least("ra", "rb")
+    fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
+    again = cut(x.join(y, (x["key"] == y["key"]) & fits).select("a", "b").distinct(), "pairs")
     if again.head(1):
         more = cut(verified(docs, again, k, percent).union(links), "links")
         drop(links, comp)
         links, comp = more, components(more)
-    drop(members, tried, again, links)
+    drop(members, open_, sized, again, links)
     # every row finds its class's representative, and that one's component
     final = reps.select("d1", "d2", "n_shingles", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "d1", "d2").join(final, ["d1", "d2", "n_shingles"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    own_id = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", own_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
