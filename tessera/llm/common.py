@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,11 +45,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
+    sweep(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now; it does so only when the driver's heap is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by cut() that no later plan reads."""
     for df in tables:
