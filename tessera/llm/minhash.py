@@ -24,32 +24,43 @@ from .common import components, cut, drop, mix, shingle_set, text_bytes, tune, w
 _U = np.uint64
 #: Members that are verified against one copy of their pivot's set.
 SALT_ROWS = 2000
+#: Members of a cluster of candidates that one task holds.
+BLOCK_ROWS = 500
 
 
 def _seeds(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
+def half_keys(sets: list[np.ndarray], halves: int) -> np.ndarray:
+    """A row of 2 * halves half-keys for each set, each made of two minhashes; an empty set has zeros."""
+    a = _seeds(4 * halves)
+    low = np.zeros((len(sets), 4 * halves), np.uint64)
+    for i, s in enumerate(sets):
+        for x in range(0, len(s), 8192):
+            part = (s[x : x + 8192, None] * a).min(axis=0)
+            low[i] = np.minimum(low[i], part) if x else part
+    low = mix(low)
+    return mix(low[:, 0::2] * _U(3) + low[:, 1::2]).view(np.int64)
+
+
+def _sets(batch_text: pa.Array, k: int) -> list[np.ndarray]:
+    data, at = text_bytes(batch_text)
+    words, bounds = word_hashes(data, at)
+    return [shingle_set(words[bounds[i] : bounds[i + 1]], k) for i in range(len(at) - 1)]
+
+
 def signatures(docs: DataFrame, k: int, halves: int) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit digest, and the two collections of half-keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = _seeds(4 * halves)
         for batch in batches:
-            data, at = text_bytes(batch.column(1))
-            words, bounds = word_hashes(data, at)
-            n = len(at) - 1
-            sizes, digest, low = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64), np.zeros((n, 4 * halves), np.uint64)
-            for i in range(n):
-                s = shingle_set(words[bounds[i] : bounds[i + 1]], k)
-                sizes[i] = len(s)
-                if len(s):
-                    digest[i] = s.sum(), mix(s ^ _U(0xA5A5A5A55A5A5A5A)).sum()
-                    for x in range(0, len(s), 8192):
-                        part = (s[x : x + 8192, None] * a).min(axis=0)
-                        low[i] = np.minimum(low[i], part) if x else part
-            low = mix(low)
-            half = mix(low[:, 0::2] * _U(3) + low[:, 1::2]).view(np.int64)
+            sets = _sets(batch.column(1), k)
+            n = len(sets)
+            sizes, digest = np.array([len(x) for x in sets], np.int64), np.zeros((n, 2), np.uint64)
+            for i, x in enumerate(sets):
+                digest[i] = x.sum(), mix(x ^ _U(0xA5A5A5A55A5A5A5A)).sum()
+            half = half_keys(sets, halves)
             pick = lambda x: pa.ListArray.from_arrays(np.arange(0, n * halves + 1, halves, dtype=np.int32), pa.array(np.ascontiguousarray(x).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), pa.array(digest[:, 0].view(np.int64)), pa.array(np.ascontiguousarray(digest[:, 1]).view(np.int64)), pick(half[:, :halves]), pick(half[:, halves:])],
@@ -82,6 +93,15 @@ def _members(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted distinct values."""
+    small, large = sorted((len(x), len(y)))
+    if not small or 100 * small < percent * large:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (small + large - both)
+
+
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
@@ -95,55 +115,75 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     own = salted.select("a", F.col("a").alias("b"), "salt").distinct()
     need = salted.union(own)
     texts = docs.select(F.col("doc_id").cast("long").alias("b"), "text")
-    rows = need.join(texts, "b").select("a", "salt", (F.col("a") != F.col("b")).alias("other"), "b", "text")
+    rows = need.join(texts.hint("merge"), "b").select("a", "salt", (F.col("a") != F.col("b")).alias("other"), "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own_set = None, None
         for batch in batches:
             a, b, other = batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist()
-            data, at = text_bytes(batch.column(4))
-            words, bounds = word_hashes(data, at)
             out = []
-            for i in range(len(a)):
-                s = shingle_set(words[bounds[i] : bounds[i + 1]], k)
+            for i, s in enumerate(_sets(batch.column(4), k)):
                 if not other[i]:
                     now, own_set = a[i], s
-                elif now == a[i]:
-                    small, large = sorted((len(s), len(own_set)))
-                    if small and 100 * small >= percent * large:
-                        both = len(np.intersect1d(s, own_set, assume_unique=True))
-                        if 100 * both >= percent * (small + large - both):
-                            out.append((a[i], b[i]))
+                elif now == a[i] and similar(s, own_set, percent):
+                    out.append((a[i], b[i]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(run, "a long, b long")
 
 
-def shared_sizes(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Rows (id, own): how many of a document's shingles no other document of `ids` has. Ids without such are left out."""
+def links_across(docs: DataFrame, members: DataFrame, k: int, percent: int, halves: int) -> DataFrame:
+    """Links (a, b) between different components c of one cluster, of pairs that share a table.
+
+    members: id, cluster, c. A cluster is cut into blocks of about BLOCK_ROWS members; those outside its largest
+    component go to each of its blocks and are compared with the block's members there, so no pair of rows is formed
+    outside a task, and a task holds one block.
+    """
+    groups = members.groupBy("cluster", "c").agg(F.count("*").alias("k"))
+    shape = groups.groupBy("cluster").agg(F.sum("k").alias("n"), F.count("*").alias("parts"), F.max_by("c", F.struct("k", "c")).alias("main")).filter("parts > 1")
+    own = members.join(shape, "cluster").select("id", "cluster", "c", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"), (F.col("c") != F.col("main")).alias("odd"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows = own.join(texts.hint("merge"), "id")
+    at_home = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    places = F.transform(at_home, lambda b: F.struct(b.alias("block"), F.lit(False).alias("guest")))
+    visits = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("guest")))
+    rows = rows.select("cluster", F.explode(F.when(F.col("odd"), F.concat(places, visits)).otherwise(places)).alias("p"), "id", "c", "text").select("cluster", "p.block", "p.guest", "id", "c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, comps, sets, rights, by_left = None, [], [], [], [], {}
         for batch in batches:
-            data, at = text_bytes(batch.column(1))
-            words, bounds = word_hashes(data, at)
-            sets = [shingle_set(words[bounds[i] : bounds[i + 1]], k) for i in range(len(at) - 1)]
-            if sets:
-                i = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(i)], ["h", "id"])
+            cluster, block, guest, i_, c_ = (batch.column(x).to_pylist() for x in range(5))
+            found = _sets(batch.column(5), k)
+            keys = half_keys(found, halves)
+            out = []
+            for r in range(len(found)):
+                if now != (cluster[r], block[r]):
+                    now, ids, comps, sets, rights, by_left = (cluster[r], block[r]), [], [], [], [], {}
+                left, right = keys[r, :halves].tolist(), keys[r, halves:]
+                if not guest[r]:
+                    for x in enumerate(left):
+                        by_left.setdefault(x, []).append(len(ids))
+                    ids.append(i_[r])
+                    comps.append(c_[r])
+                    sets.append(found[r])
+                    rights.append(right)
+                    continue
+                for m in {m for x in enumerate(left) for m in by_left.get(x, ())}:
+                    if comps[m] != c_[r] and (rights[m] == right).any() and similar(found[r], sets[m], percent):
+                        out.append((i_[r], ids[m]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    once = texts.mapInArrow(run, "h long, id long").groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other")
-    return once.groupBy("id").agg(F.count("*").alias("own"))
+    return rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "guest").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, halves: int = 10) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     First each table's members are checked against the table's most central one (that shares the most table entries
-    with others), which most members of a group of copies resemble best. Tables whose members then lie in several
-    components have their pairs across components checked too, less those that can't be links: the shingles that a
-    document shares with no other bound its intersection with each of them, so no link between candidates is lost.
+    with others), which most members of a group of copies resemble best. Where members of shared tables then still lie
+    in several components, the pairs across those are checked too, so no link between candidates is lost.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -158,29 +198,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, halves: int
     members = cut(_members(keys), "members")
     central = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("id").agg(F.sum("n").alias("weight"))
     pivots = members.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("a"))
-    first = members.join(pivots, "key").filter("a != id").select("a", F.col("id").alias("b")).distinct()
+    first = cut(members.join(pivots, "key").filter("a != id").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    drop(members)
     links = cut(verified(docs, first, k, percent), "links")
-    comp = components(links)
-    # tables that several components share
-    of = members.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = cut(of.join(mixed, "key", "left_semi"), "open")
-    own = shared_sizes(docs, open_.select("id").distinct(), k)
-    size = reps.groupBy(F.col("rep").alias("id")).agg(F.min("n_shingles").alias("n"))
-    size = size.join(open_.select("id").distinct(), "id").join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("r"))
-    sized = cut(open_.join(size, "id"), "sized")
-    least = sized.groupBy("key").agg(F.min("n").alias("m"))
-    # r bounds every intersection; the smallest member bounds the union
-    hope = sized.join(least, "key").filter(100 * F.col("r") >= percent * (F.col("n") + F.greatest("m", "r") - F.col("r"))).select("key", "id", "c", "n", "r")
-    x, y = hope.toDF("key", "a", "ca", "na", "ra"), hope.toDF("key", "b", "cb", "nb", "rb")
-    most = F.least("ra", "rb")
-    fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
-    again = cut(x.join(y, (x["key"] == y["key"]) & fits).select("a", "b").distinct(), "pairs")
-    if again.head(1):
-        more = cut(verified(docs, again, k, percent).union(links), "links")
-        drop(links, comp)
-        links, comp = more, components(more)
-    drop(members, open_, sized, again, links)
+    comp, clusters = components(links), components(first)
+    of = clusters.withColumnRenamed("component", "cluster").join(comp, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("c"))
+    across = cut(links_across(docs, of, k, percent, halves).union(links), "links")
+    drop(first, links, comp, clusters)
+    comp = components(across)
+    drop(across)
     # every row finds its class's representative, and that one's component
     final = reps.select("d1", "d2", "n_shingles", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "d1", "d2").join(final, ["d1", "d2", "n_shingles"], "left")
