@@ -43,7 +43,7 @@ _MARKS = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 #: Weights where no page names its content; learned ones replace those that were seen.
-PRIOR = {"w:p": 1.0, "w:h": 1.0, "w:other": 0.5, "w:link": 0.05, "t:p": -0.2, "t:h": -0.2, "t:inline": -0.1, "t:link": -1.5, "t:list": -0.4, "t:box": -1.0, "t:zone": -3.0, "t:other": -0.5}
+PRIOR = {"w:p": 1.0, "w:h": 1.0, "w:other": 0.5, "w:link": 0.05, "t:p": -0.2, "t:h": -0.2, "t:inline": -0.1, "t:link": -1.5, "t:list": -0.4, "t:box": -1.0, "t:zone": -1.0, "t:other": -0.5}
 #: Pages (of least hash) whose markup is counted for the weights.
 SAMPLE_PAGES = 2000
 
@@ -150,7 +150,8 @@ def counts(page: str) -> Counter:
 
 
 def weights(found: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Log odds of each feature, words at least 0.05 and at most 1, tags at least -4 and at most -0.1."""
+    """Log odds of each feature, words at least 0.05 and at most 1, tags at least -4 and at most -0.1;
+    a zone at least -1, since it may stand in the middle of an article."""
     out = dict(PRIOR)
     totals = {(k, i): sum(v for (f, j), v in found.items() if f[0] == k and j is i) for k in "wt" for i in (True, False)}
     for feature in {f for f, _ in found}:
@@ -158,7 +159,7 @@ def weights(found: dict[tuple[str, bool], int]) -> dict[str, float]:
         if not totals[k, True] or not totals[k, False]:
             continue
         odds = math.log((found.get((feature, True), 0) + 1) / (totals[k, True] + 1)) - math.log((found.get((feature, False), 0) + 1) / (totals[k, False] + 1))
-        out[feature] = min(1.0, max(0.05, odds)) if k == "w" else max(-4.0, min(-0.1, odds))
+        out[feature] = min(1.0, max(0.05, odds)) if k == "w" else max(-1.0 if feature == "t:zone" else -4.0, min(-0.1, odds))
     return out
 
 

@@ -1,0 +1,157 @@
+"""Quality rules, extraction, toxicity and decontamination."""
+
+import random
+import zlib
+
+import duckdb
+import pandas as pd
+import pytest
+
+from tessera.llm import decontaminate, extract, quality, toxicity
+
+from .helpers import SCHEMA, corpus, frame, prose
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_quality_equals_its_sql(spark):
+    rng = random.Random(5)
+    rows = [r for r in corpus() if r[0] is not None][:-1]
+    for i in range(100, 140):
+        text = " ".join(f"{w}{rng.choice(['###', '%%%'])}" for w in prose(rng, 60).split())
+        rows.append((i, text, "en", "a", len(text)))
+    rows.append((200, "same line here\n" * 12 + "a | b & c", "en", "a", 1))
+    marks = [(i, 1, 0) for i in range(20)] + [(i, 0, 0) for i in range(100, 120)] + [(3, 1, 0), (None, 1, 0), (5, None, None)]
+    got = quality.assess(frame(spark, rows), labels(spark, marks)).select("doc_id", *quality.ADDED).toPandas()
+    con = duckdb.connect()
+    con.register("d", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]))
+    con.register("l", pd.DataFrame(marks, columns=["doc_id", "quality", "toxic"]))
+    con.execute("create view documents as select * from d; create view labels as select * from l")
+    want = con.sql(quality.ORACLE).df()[list(got.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+    by = got.set_index("doc_id")
+    assert not by.loc[range(100, 140)].kept.any() and by.loc[range(20)].kept.all()
+
+
+def test_quality_without_labels_or_documents(spark):
+    none = labels(spark, [])
+    got = quality.assess(frame(spark), none).collect()
+    assert len(got) == len(corpus()) and all(r.ratio_sum == 0 and r.kept == (not r.base_failed) for r in got)
+    assert all(r.n_words == 0 and r.base_failed for r in got if r.text is None)
+    assert quality.assess(frame(spark, []), none).collect() == []
+
+
+def test_repeated_words_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        w = [rng.choice("abc") for _ in range(rng.randrange(0, 40))]
+        rows.append((i, " ".join(w), "en", "a", 1))
+    got = {r.doc_id: r.n_repeat_words for r in quality.statistics(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, t, *_ in rows:
+        w = t.split()
+        windows = [tuple(w[j : j + 8]) for j in range(len(w) - 7)]
+        hit = {j + k for j, x in enumerate(windows) if windows.count(x) > 1 for k in range(8)}
+        assert got[i] == len(hit)
+
+
+PAGE = (
+    '<!DOCTYPE html><html><head><title>T</title><script>var x="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>'
+    '<div id="cookie-notice"><p>We use cookies for many things that you do here and there and everywhere.</p></div><!-- <p>no</p> --><div class="ad">Buy this fine product now</div>'
+    "<{0}><h1>A title &amp; more</h1><p>One  two\nthree <b>four</b>five&nbsp;six.<br>Next <a href='x>y'>link</a> here.<p>Second &#8364; paragraph of some length.</p>"
+    '<aside>Aside text in the middle of it all.</aside><ul><li>item one of a list</li><li>item two</li></ul></{0}><div class="comments"><p>First! I think this is wrong.</p></div>'
+    "<form><label>Search</label></form><footer>&copy; me, and some more words in the footer</footer>"
+)
+WANT = "A title & more\n\nOne two three fourfive six. Next link here.\n\nSecond € paragraph of some length.\n\nitem one of a list\n\nitem two"
+
+
+@pytest.mark.parametrize("holder", ["article", "div"])
+def test_main_text(holder):
+    page = PAGE.replace("{0}", holder)
+    learned = extract.weights(dict(extract.counts(PAGE.replace("{0}", "article"))))
+    assert extract.main_text(page, learned) == WANT
+    assert extract.main_text(page, extract.PRIOR) == WANT
+
+
+def test_odd_pages(spark):
+    odd = [None, "", "<", "a < b", "<p", "<!-- x", "<script>x", "<p>x", "</p>" * 5, "&am", "<p class='a>b'>q</p>", "<div " * 1000, "plain words only", "<p>" + "word " * 50000]
+    pages = spark.createDataFrame([(i, f"u{i}", p, 1) for i, p in enumerate(odd)] + [(None, None, "<p>y</p>", 1), (7, "u7", "<p>x</p>", 1)], "page_id long, url string, html string, text int")
+    got = extract.extract(pages).collect()
+    assert len(got) == len(odd) + 2 and all(r.n_chars == len(r.text) for r in got)
+    text = {(r.page_id, r.url): r.text for r in got}
+    assert text[0, "u0"] == text[1, "u1"] == text[5, "u5"] == text[6, "u6"] == text[8, "u8"] == ""
+    assert text[10, "u10"] == "q" and text[12, "u12"] == "plain words only" and text[None, None] == "y" and len(text[13, "u13"]) == 249999
+    assert extract.extract(pages.limit(0)).collect() == []
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(7)
+    bad = "vermin wretched loathsome imbecile".split()
+    rows, marks = [], []
+    for i in range(400):
+        w = prose(rng, rng.randrange(40, 120)).split()
+        toxic = int(i % 4 == 0)
+        if toxic:
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w), "en", "a", 1))
+        marks.append((i, 1, toxic))
+    extra = [(900, None, "en", "a", 0), (901, "", "en", "a", 0), (None, prose(rng, 30), "en", "a", 0), rows[1]]
+    got = toxicity.score(frame(spark, rows + extra), labels(spark, [*marks, (1, 1, None), (None, 1, 1)])).collect()
+    assert len(got) == len(rows) + 4 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    truth = {i: t for i, _, t in marks}
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+    assert len({r.score for r in got if r.doc_id in (900, 901)}) == 1
+
+
+def test_toxicity_without_labels_or_documents(spark):
+    assert {r.score for r in toxicity.score(frame(spark), labels(spark, [])).collect()} == {0.0}
+    assert toxicity.score(frame(spark, []), labels(spark, [(1, 1, 1)])).collect() == []
+
+
+def least_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_myers_is_the_plain_distance():
+    rng = random.Random(8)
+    for _ in range(150):
+        item, text = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, n))) for n in (90, 60))
+        assert decontaminate.myers(item, text) == least_distance(item, text)
+
+
+def test_matches_equal_brute_force(spark):
+    rng = random.Random(9)
+    items = [(i, prose(rng, rng.randrange(4, 40))) for i in range(12)] + [(50, None), (51, ""), (52, "Word"), (53, "Word"), (None, prose(rng, 15))]
+    rows = corpus()[:30]
+    for i, t in items:
+        if t and len(t) > 30:
+            w = list(t)
+            for _ in range(rng.randrange(0, max(1, int(len(t) * 0.09)))):
+                p = rng.randrange(len(w))
+                w[p : p + 1] = rng.choice(["", "x", w[p] + "y"])
+            rows.append((1000 + len(rows), prose(rng, 10) + "  " + "".join(w).upper() + "\n" + prose(rng, 10), "en", "a", 1))
+    rows += [(None, items[0][1], "en", "a", 1), (2000, None, None, None, None), (2001, "", None, None, 0)]
+    for block in (4 << 20, 300):
+        got = decontaminate.matches(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_chars=block).collect()
+        want = set()
+        for d, t, *_ in rows:
+            for i, x in items:
+                x, y = decontaminate.normal(x), decontaminate.normal(t)
+                if x and y and (n := least_distance(x, y)) <= decontaminate.budget(len(x)):
+                    want.add((d, i, n))
+        assert {(r.doc_id, r.item_id, r.distance) for r in got} == want
+    clean = decontaminate.clean(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id for r in clean} == {r[0] for r in rows} - {d for d, *_ in want if d is not None}
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.matches(frame(spark, rows), nothing).collect() == []
