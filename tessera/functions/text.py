@@ -3,6 +3,8 @@ takes only the values on which the built-ins differ, and sees nulls for the rest
 
 from __future__ import annotations
 
+import secrets
+
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 from ..operators import codec
 from ..options import EncodeOptions
 
+_MARK = secrets.token_hex(12)
 #: A number that may be beyond a double's range.
 _HUGE = r"[eE]\+?0*[0-9]{3,}|[0-9]{309,}"
 #: Control characters whose built-in escapes are in upper case.
@@ -27,19 +30,25 @@ def col(c: "Column | str") -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def is_valid(c: "Column | str") -> Column:
-    """Whether a document is valid JSON; null for null.
+def wrapped(s: Column) -> Column:
+    """A document as the first of two elements of a parsed array, the second being a mark that no document holds.
 
-    Two wraps are parsed, since what fools one (such as `1],[2`) doesn't fool the other. Only documents with a number
-    that may overflow go to the codec.
+    What ends the array early or adds to it leaves another length, so trailing text, which parsing ignores, shows.
     """
+    return F.try_parse_json(F.concat(F.lit("["), s, F.lit(f',"{_MARK}"]')))
+
+
+def whole(w: Column) -> Column:
+    """Whether wrapped() took the document for exactly one value."""
+    return F.coalesce((F.try_variant_get(w, "$[1]", "string") == _MARK) & F.try_variant_get(w, "$[2]", "variant").isNull(), F.lit(False))
+
+
+def is_valid(c: "Column | str") -> Column:
+    """Whether a document is valid JSON; null for null. Only documents with a number that may overflow go to the codec."""
     s = col(c)
-    many = F.concat(F.lit("["), s, F.lit("]"))
-    one = F.concat(F.lit('{"v":'), s, F.lit("}"))
-    parsed = F.coalesce((F.try_parse_json(many).isNotNull()) & (F.json_array_length(many) == 1) & (F.try_parse_json(one).isNotNull()), F.lit(False))
     exact = F.arrow_udf(lambda x: pa.array([codec.valid(v) for v in x.to_pylist()], pa.bool_()), "boolean")
-    huge = s.rlike(_HUGE)
-    return F.when(s.isNull(), F.lit(None).cast("boolean")).when(huge, exact(F.when(huge, s))).otherwise(parsed)
+    found = exact(F.when(s.rlike(_HUGE), s))
+    return F.when(s.isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(found, whole(wrapped(s))))
 
 
 def json_quote(c: "Column | str", options: EncodeOptions = EncodeOptions()) -> Column:
