@@ -8,7 +8,6 @@ import secrets
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import codec
 from ..options import EncodeOptions
@@ -140,20 +139,6 @@ def dynamic(c: "Column | str", numbers: str = "exact") -> Column:
             tree = codec.document(v)
         except codec.JsonSyntaxError:
             return None
-        return codec.writer_text(_renumbered(tree, numbers))
+        return codec.writer_text(codec.renumbered(tree, numbers))
 
     return F.try_parse_json(F.arrow_udf(lambda x: pa.array([one(v) for v in x.to_pylist()], pa.string()), "string")(s))
-
-
-def _renumbered(v: object, numbers: str) -> object:
-    if isinstance(v, codec.Number):
-        if numbers == "text":
-            return str(v)
-        x = repr(float(v))
-        return codec.Number(x if "e" in x or "E" in x or x in ("inf", "-inf") else x + "e0")
-    if isinstance(v, dict):
-        return {k: _renumbered(x, numbers) for k, x in v.items()}
-    return [_renumbered(x, numbers) for x in v] if isinstance(v, list) else v
-
-
-NATIVE_TYPES = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType, T.BinaryType)

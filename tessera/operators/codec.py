@@ -344,9 +344,9 @@ class Reader:
             n = meta.get("json.fixed")
             return out if n is None else [*out[:n], *[_ZERO.get(type(dtype.elementType))] * (n - len(out))]
         if isinstance(dtype, T.MapType):
-            return self.map(v, dtype, field) if isinstance(v, dict) else self.mismatch(v, "map", field)
+            return self.map(v, dtype, meta, field) if isinstance(v, dict) else self.mismatch(v, "map", field)
         if isinstance(dtype, T.VariantType):
-            return writer_text(v)
+            return writer_text(renumbered(v, "text") if self.options.use_number else v)
         return self.mismatch(v, name, field)
 
     def record(self, v: dict, dtype: T.StructType, field: str) -> dict:
@@ -365,11 +365,16 @@ class Reader:
                 out[f.name] = self.value(x, f.dataType, f.metadata, f"{field}.{f.name}" if field else f.name)
         return out
 
-    def map(self, v: dict, dtype: T.MapType, field: str) -> list[tuple[object, object]]:
+    def map(self, v: dict, dtype: T.MapType, meta: dict, field: str) -> list[tuple[object, object]]:
         out: dict[object, object] = {}
         for k, x in v.items():
             key: object = _clean(k)
-            if not isinstance(dtype.keyType, T.StringType):
+            if meta.get("json.keys"):
+                try:
+                    key = HOOKS[meta["json.keys"]][0](key)
+                except Exception as e:
+                    raise HookError(f"{meta['json.keys']}: {e}", field=field) from e
+            elif not isinstance(dtype.keyType, T.StringType):
                 key = self.value(Number(k) if _INTEGER.fullmatch(k) else k, dtype.keyType, {}, f"{field}[{k!r}]")
                 if key is None:
                     continue
@@ -464,6 +469,18 @@ def float_text(x: float, single: bool = False, exp_auto: bool = False) -> str:
     return text.rstrip("0").rstrip(".") if "." in text else text
 
 
+def renumbered(v: object, numbers: str) -> object:
+    """A scanned tree with its numbers as text (strings) or in a double's notation."""
+    if isinstance(v, Number):
+        if numbers == "text":
+            return "".join(v)
+        x = repr(float(v))
+        return Number(x if "e" in x or "E" in x or x in ("inf", "-inf") else x + "e0")
+    if isinstance(v, dict):
+        return {k: renumbered(x, numbers) for k, x in v.items()}
+    return [renumbered(x, numbers) for x in v] if isinstance(v, list) else v
+
+
 def writer_text(v: object) -> str:
     """Compact JSON of a scanned tree, numbers in their own text."""
     if isinstance(v, (Raw, Number)):
@@ -543,6 +560,8 @@ class Writer:
             return "[" + ",".join(self.text(x, dtype.elementType, {}, depth + 1) for x in v) + "]"
         if isinstance(dtype, T.MapType):
             pairs = v.items() if isinstance(v, dict) else v
+            if meta.get("json.keys"):
+                pairs = [(HOOKS[meta["json.keys"]][1](k), x) for k, x in pairs]
             return "{" + ",".join(quote(str(k), self.options) + ":" + self.text(x, dtype.valueType, {}, depth + 1) for k, x in pairs) + "}"
         return str(v)
 

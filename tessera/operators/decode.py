@@ -183,3 +183,21 @@ def _plainly(dtype: T.DataType) -> T.DataType:
 def fixed_array(c: "Column | str", n: int, zero: object = 0) -> Column:
     """An array of exactly n elements: cut, or filled up with zeros."""
     return F.slice(F.concat(col(c), F.array_repeat(F.lit(zero), n)), 1, n)
+
+
+def decode_into(previous: "Column | str", c: "Column | str", schema: "T.DataType | Record | str", options: DecodeOptions = DecodeOptions()) -> Column:
+    """decode(), on top of an earlier value: what is missing or null keeps its previous value, records are merged field
+    by field and maps key by key, arrays are replaced. A document with a syntax error leaves the previous value."""
+    dtype = plain(schema)
+    got = decode(c, dtype, options)
+    return F.struct(_merged(col(previous), got["value"], dtype).alias("value"), got["error"].alias("error"))
+
+
+def _merged(old: Column, new: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.StructType):
+        both = F.struct(*[_merged(old[f.name], new[f.name], f.dataType).alias(f.name) for f in dtype])
+        return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(both)
+    if isinstance(dtype, T.MapType):
+        rest = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k))
+        return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(F.map_concat(rest, new))
+    return F.coalesce(new, old)

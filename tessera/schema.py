@@ -26,6 +26,7 @@ class Field:
     tag: str = ""
     kind: str | None = None  # raw, number, time, hook:<name>
     fixed: int | None = None
+    keys: str | None = None  # a hook for a map's keys
     embedded: bool = False
 
 
@@ -85,6 +86,8 @@ def _build(f: Field, name: str, options: list[str]) -> T.StructField:
         meta["json.kind"] = kind
     if f.fixed is not None:
         meta["json.fixed"] = f.fixed
+    if f.keys:
+        meta["json.keys"] = f.keys
     check(dtype)
     return T.StructField(name, dtype, True, meta)
 

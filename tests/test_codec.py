@@ -166,3 +166,14 @@ def test_random_round_trips():
         v = {"a": rng.choice([None, rng.randrange(-(1 << 63), 1 << 63)]), "b": rng.choice([None, text()]), "c": rng.choice([None, [rng.uniform(-1e9, 1e9) for _ in range(3)]]), "d": rng.choice([None, {"e": True}]), "m": [(k, rng.randrange(99)) for k in {text() for _ in range(2)}]}
         out, error = codec.Writer(schema, EncodeOptions()).write(v)
         assert error is None and json.loads(out) is not None and read(schema, out) == (v, None)
+
+
+def test_use_number_and_key_hooks():
+    s = struct_of(v=T.VariantType())
+    assert read(s, '{"v":[1.50,{"x":1e2}]}', use_number=True)[0]["v"] == '["1.50",{"x":"1e2"}]'
+    assert read(s, '{"v":[1.50]}')[0]["v"] == "[1.50]"
+    codec.register_codec("hexkey", decode=lambda k: int(k, 16), encode=lambda k: f"{k:x}", text=True)
+    r = Record([Field("m", T.MapType(T.LongType(), T.StringType()), keys="hexkey")]).struct()
+    assert read(r, '{"m":{"ff":"a"}}')[0] == {"m": [(255, "a")]}
+    assert codec.Writer(r, EncodeOptions()).write({"m": {255: "a"}})[0] == '{"m":{"ff":"a"}}'
+    assert read(r, '{"m":{"zz":"a"}}')[1]["kind"] == "hook"

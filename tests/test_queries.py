@@ -101,3 +101,15 @@ def test_write_fails_on_values_without_json(spark, tmp_path):
     empty = spark.createDataFrame([], "f double")
     write_ndjson(empty, str(tmp_path / "none"))
     assert decode_records(spark.read.text(str(tmp_path / "none")), "f double").count() == 0
+
+
+def test_decode_into_merges(spark):
+    from tessera.operators.decode import decode_into
+
+    prepare(spark)
+    schema = "a bigint, m map<string,bigint>, r struct<x: bigint, y: string>, l array<bigint>"
+    first, second = '{"a":1,"m":{"p":1,"q":2},"r":{"x":1,"y":"k"},"l":[1,2]}', '{"a":null,"m":{"q":3},"r":{"x":9},"l":[5]}'
+    df = spark.createDataFrame([(first, second), (first, "{bad"), ("", second)], "s string, t string")
+    got = [r.v for r in df.select(decode_into(decode("s", schema)["value"], "t", schema).alias("v")).collect()]
+    assert got[0].value.asDict(True) == {"a": 1, "m": {"p": 1, "q": 3}, "r": {"x": 9, "y": "k"}, "l": [5]}
+    assert got[1].value.a == 1 and got[1].error.kind == "syntax" and got[2].value.r.x == 9
