@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 BUCKETS = 10_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 TOKEN = "[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+"
+#: N-grams of the raw corpus's mixture that are lent to the target: a small trusted set stays near ratio 0.
+PRIOR = 10_000.0
 #: Mean millionths for each n-gram below which a document goes, and n-grams of ratio 0 lent to every document.
-LEAST_MEAN = -30_000
+LEAST_MEAN = -100_000
 LENT = 20
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -91,7 +93,8 @@ def weights(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> li
         return [0] * BUCKETS
     import math
 
-    return [math.floor(1e6 * math.log((t + 1.0) / (all_target + BUCKETS) * ((all_raw + BUCKETS) / (n + 1.0))) + 0.5) for n, t in zip(raw, target)]
+    share = [(n + 1.0) / (all_raw + BUCKETS) for n in raw]
+    return [math.floor(1e6 * math.log((t + PRIOR * q) / (all_target + PRIOR) / q) + 0.5) for t, q in zip(target, share)]
 
 
 def assess(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> DataFrame:
@@ -140,7 +143,7 @@ seq AS (SELECT doc_id, i, c, lag(c) OVER (PARTITION BY doc_id ORDER BY i) AS p F
 gram AS (SELECT doc_id, c % {BUCKETS} AS b FROM seq UNION ALL SELECT doc_id, (p * 31 + c) % {BUCKETS} FROM seq WHERE p IS NOT NULL),
 cnt AS (SELECT b, count(*) AS raw, count(l.doc_id) AS target FROM gram LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l USING (doc_id) GROUP BY b),
 tot AS (SELECT sum(raw)::DOUBLE AS r, sum(target)::DOUBLE AS t FROM cnt),
-wt AS (SELECT b, floor(1e6 * ln((target + 1.0::DOUBLE) / (t + {BUCKETS}) * ((r + {BUCKETS}) / (raw + 1.0::DOUBLE))) + 0.5)::BIGINT AS v FROM cnt, tot),
+wt AS (SELECT b, floor(1e6 * ln((target + {PRIOR}::DOUBLE * ((raw + 1.0::DOUBLE) / (r + {BUCKETS}))) / (t + {PRIOR}::DOUBLE) / ((raw + 1.0::DOUBLE) / (r + {BUCKETS}))) + 0.5)::BIGINT AS v FROM cnt, tot),
 sc AS (SELECT doc_id, count(*) AS n, sum(v)::BIGINT AS s FROM gram JOIN wt USING (b) GROUP BY doc_id),
 fin AS (SELECT base.*, coalesce(n, 0)::BIGINT AS n_grams, coalesce(s, 0)::BIGINT AS ratio_sum,
   n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base LEFT JOIN sc USING (doc_id))
