@@ -116,9 +116,13 @@ class SuffixFamily:
         drop(*(t for _, t in self.levels), *self.matched)
 
 
-def _contexts(docs: DataFrame, starts: DataFrame, length: int) -> DataFrame:
+def _by_row(starts: DataFrame) -> DataFrame:
+    """The candidate starts of each row, as one list."""
+    return starts.groupBy("rid").agg(F.collect_list(F.struct("fp", "j0", "n", "salts")).alias("starts"))
+
+
+def _contexts(docs: DataFrame, lists: DataFrame, length: int) -> DataFrame:
     """The bytes under the windows of each candidate start."""
-    lists = starts.groupBy("rid").agg(F.collect_list(F.struct("fp", "j0", "n", "salts")).alias("starts"))
     rows = docs.select(row_id().alias("rid"), "text").join(lists, "rid").select("rid", "text", "starts.fp", "starts.j0", "starts.n", "starts.salts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +202,10 @@ def repeated_ranges(docs: DataFrame, length: int = 200, batches: int = 4) -> Dat
     family = SuffixFamily(spark, length, max(1, length - 127))
     for b in range(batches):
         family.add(docs.filter(F.pmod(row_id(), F.lit(batches)) == b))
-    found = cut(_compare(_contexts(docs, family.candidates(), length), length), "ranges")
-    family.drop()
+    lists = cut(_by_row(family.candidates()), "starts")
+    family.drop()  # before any text moves
+    found = cut(_compare(_contexts(docs, lists, length), length), "ranges")
+    drop(lists)
     windows = found.filter("h is not null")
     across = windows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     late = windows.filter("not twice").join(across, "h", "left_semi").select("rid", "a", "b")
