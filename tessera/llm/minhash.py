@@ -203,10 +203,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, halves: int
     links = cut(verified(docs, first, k, percent), "links")
     comp, clusters = components(links), components(first)
     of = clusters.withColumnRenamed("component", "cluster").join(comp, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("c"))
-    across = cut(links_across(docs, of, k, percent, halves).union(links), "links")
-    drop(first, links, comp, clusters)
-    comp = components(across)
-    drop(across)
+    across = cut(links_across(docs, of, k, percent, halves), "links")
+    drop(first, clusters)
+    if across.head(1):
+        old, comp = comp, components(across.union(links))
+        drop(old)
+    drop(across, links)
     # every row finds its class's representative, and that one's component
     final = reps.select("d1", "d2", "n_shingles", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "d1", "d2").join(final, ["d1", "d2", "n_shingles"], "left")
