@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import tune
 
 #: Edits allowed for each character of an item.
-ERROR_RATE = 0.06
+ERROR_RATE = 0.08
 #: Characters of items in one block; each block is a pass over the documents.
 BLOCK_CHARS = 4 << 20
 

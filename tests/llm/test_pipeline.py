@@ -78,11 +78,15 @@ def test_stages_equal_brute_force(spark, tables):
     assert tokens == want
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+#: The two slow ones are covered with their operators.
+QUICK = sorted(set(queries.QUERIES) - {"op4_minhash_near_dedup", "op9_suffix_dedup"})
+
+
+@pytest.mark.parametrize("name", QUICK)
 def test_registered_query_runs(spark, tables, name):
     path, rows, _ = tables
     got = queries.QUERIES[name](spark, path).collect()
-    if name in ("op4_minhash_near_dedup", "op6_quality_rules", "op8_toxicity", "op9_suffix_dedup", "op10_external_shuffle"):
+    if name in ("op6_quality_rules", "op8_toxicity", "op10_external_shuffle"):
         assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     elif name == "op1_best_fit_packing":
         assert sum(r.n_tokens for r in got) == sum(len((t or "").encode().split()) + 1 for _, t, *_ in rows)
