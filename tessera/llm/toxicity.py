@@ -182,6 +182,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = 2000, train_byte
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     parts = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(train_rows) for t in (0, 1)]
     ids = F.broadcast(parts[0].union(parts[1]))  # at most twice train_rows ids
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     sample = docs.filter(F.octet_length("text") <= train_bytes).join(ids, F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).cast("int").alias("fold"))
     rows = sorted((r["doc_id"], r["text"], int(r["toxic"]), r["fold"]) for r in sample.toLocalIterator())
     model = train([r[1:] for r in rows])
@@ -191,4 +192,4 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = 2000, train_byte
             found = np.array([model.score(t) for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
