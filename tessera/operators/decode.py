@@ -198,6 +198,5 @@ def _merged(old: Column, new: Column, dtype: T.DataType) -> Column:
         both = F.struct(*[_merged(old[f.name], new[f.name], f.dataType).alias(f.name) for f in dtype])
         return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(both)
     if isinstance(dtype, T.MapType):
-        rest = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k))
-        return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(F.map_concat(rest, new))
+        return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(F.map_zip_with(old, new, lambda _, a, b: F.coalesce(b, a)))
     return F.coalesce(new, old)

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def flat(v):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return [flat(x) for x in v]
-    if v is None or v != v or str(v) == "NaT":
+    if pd.isna(v):
         return None
     return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
