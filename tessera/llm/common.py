@@ -187,34 +187,32 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
 def components(links: DataFrame) -> DataFrame:
     """Rows (id, component) for every id of links (a, b): the smallest id that it reaches.
 
-    Alternates large-star and small-star steps; each step's edges are written to the shared folder, and the number of
-    steps grows with the logarithm of the longest path. Only counts reach the driver.
+    Alternates large-star and small-star steps until every edge leads from a root to a leaf of its own; each step's edges
+    are written to the shared folder, and the number of steps grows with the logarithm of the longest path. Only whether
+    to go on reaches the driver.
     """
     spark = links.sparkSession
-    edges = cut(
-        links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct(), "edges"
-    )
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:  # every larger neighbour of a node is linked to the node's smallest neighbour
-            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            hit = both.join(low, "u").filter("v > u")
-            return hit.select(F.col("m").alias("u"), "v").filter("u < v").distinct()
-        # every smaller neighbour of a node, and the node, are linked to the smallest of them
+    edges = cut(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct(), "edges")
+
+    def step(e: DataFrame) -> DataFrame:
+        # every larger neighbour of a node is linked to the node's smallest neighbour, or the node
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        e = both.join(low, "u").filter("v > u and m < v").select(F.col("m").alias("u"), "v")
+        # then every smaller neighbour of a node, and the node, to the smallest of them
         low = e.groupBy("v").agg(F.min("u").alias("m"))
-        hit = e.join(low, "v")
-        return hit.select(F.col("m").alias("x"), F.col("u").alias("y")).union(low.select(F.col("m").alias("x"), F.col("v").alias("y"))).filter("x < y").distinct().toDF("u", "v")
+        moved = e.join(low, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).union(low.select(F.col("m").alias("u"), "v"))
+        return moved.filter("u < v").distinct()
 
-    mark = None
-    while True:
-        new = cut(star(star(edges, True), False), "edges")
-        seen = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def open_ends(e: DataFrame) -> DataFrame:
+        """Nodes that are both root and leaf, or leaves of two roots."""
+        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("root"), F.lit(0).alias("leaf")).union(e.select(F.col("v").alias("id"), F.lit(0).alias("root"), F.lit(1).alias("leaf")))
+        return ends.groupBy("id").agg(F.max("root").alias("root"), F.sum("leaf").alias("leaf")).filter("leaf > 1 or (root = 1 and leaf = 1)")
+
+    while open_ends(edges).head(1):
+        new = cut(step(edges), "edges")
         drop(edges)
         edges = new
-        if seen == mark:
-            break
-        mark = seen
     found = edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
     roots = edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()
     out = cut(found.union(roots), "components")
