@@ -116,6 +116,18 @@ def assess(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> Dat
     return d.withColumn("kept", ~F.col("base_failed") & good).select(*docs.columns, *ADDED)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> DataFrame:
+    """The documents that stay, with assess()'s columns.
+
+    As a filter, Spark would push the verdict down to the scan and write it out there, every list computed anew for each
+    of its elements. So each document is repeated once or not at all instead; the term that Spark takes for random keeps
+    it from deriving a filter from that.
+    """
+    d = assess(docs, labels, target_rows).withColumn("_q_times", F.when(F.col("kept"), 1).otherwise(0))
+    times = F.col("_q_times") + F.floor(F.rand(0)).cast("int")
+    return d.withColumn("_q_one", F.explode(F.array_repeat(F.lit(1), times))).drop("_q_times", "_q_one")
+
+
 #: The query in DuckDB's SQL.
 ORACLE = rf"""
 WITH tab AS (
