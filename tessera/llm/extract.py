@@ -3,7 +3,8 @@
 Words score positive and tags negative. The weights are log odds, counted on pages whose own markup names their content
 (article, main, role=main, itemprop=articleBody): what lies inside against what lies outside. A linear scan finds the
 best contiguous region; it is widened to whole blocks, and zones that are never content (menus, footers, asides, forms,
-adverts, notices, reader comments) are left out of it.
+adverts, notices, reader comments) are left out of it. A container that holds the page's content is no zone, whatever it
+is called: neither one around the largest named element, nor, where no markup names content, one around most words.
 
 Defined results: a null or empty page, or one without words outside such zones, has the empty text; an unclosed comment,
 script or style runs to the page's end, an unclosed tag is text up to the next one; equal rows give equal results; a
@@ -33,10 +34,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes object canvas".split())
 ZONES = frozenset("nav footer aside form menu head button select dialog".split())
 HOLDERS = frozenset("article main section div header footer nav aside form ul ol dl table menu figure fieldset details dialog head body html button select blockquote span p li a".split())
+# Zones by their meaning in HTML, which hold a page's content only if a named element lies in them.
+NEVER = frozenset("nav footer menu head button select".split())
+# Containers whose class, id or role may mark a zone; headings, paragraphs, list items and inline elements don't.
+BOXES = frozenset("div section header ul ol dl table figure fieldset details center blockquote".split())
 # Words of a class, id or role that mark a zone.
 ZONE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus replies share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar skip complementary contentinfo".split()
 )
+# Words that a zone's name may have beside one of those, such as related-posts; in others (has-sidebar,
+# no-comments, related-work) the word says something else.
+BESIDE = frozenset("area bar block blocks bottom box buttons col column container entry form global inner item items left links list main message outer page panel post posts primary right row secondary section site slot space top unit user wrap wrapper".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _MARKS = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -84,61 +92,135 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
             yield "tag", name, "", True
 
 
+def _marks_zone(name: str) -> bool:
+    """Whether a whole class name, id or role is made of zone words and words that go with them."""
+    parts = [x for x in _SPLIT.split(name) if x and not x[0].isdigit()]
+    return not ZONE_WORDS.isdisjoint(parts) and all(x in ZONE_WORDS or x in BESIDE for x in parts)
+
+
 def _zone(tag: str, attributes: str, inside: bool) -> bool:
     if tag in ZONES or tag == "header" and not inside:
         return True
-    if tag in ("article", "main", "body", "html") or not attributes:
+    if tag not in BOXES or not attributes:
         return False
-    for m in _MARKS.finditer(attributes):
-        if not ZONE_WORDS.isdisjoint(_SPLIT.split((m.group(1) or m.group(2) or m.group(3) or "").lower())):
-            return True
-    return False
+    return any(_marks_zone(x) for m in _MARKS.finditer(attributes) for x in (m.group(1) or m.group(2) or m.group(3) or "").lower().split())
 
 
 def _named(tag: str, attributes: str) -> bool:
     return tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", attributes, re.I))
 
 
-def items(page: str) -> Iterator[tuple[str, int, str | None, bool]]:
-    """(feature, words, text, inside named content) of a page in order; a block's break has text None and a zone counts
-    as a single tag, however long."""
-    stack: list[tuple[str, bool, bool]] = []  # (tag, zone, named)
-    zones = named = links = 0
-    holder = ["other"]
+class Element:
+    """An open or closed element; `words` are those outside links and outside zones within it."""
+
+    __slots__ = ("parent", "tag", "at", "candidate", "named", "never", "zones", "inside", "link", "holder", "paragraph", "words")
+
+    def __init__(self, parent: Element | None, tag: str, attributes: str):
+        kind = _kind(tag)
+        self.parent, self.tag, self.words, self.zones = parent, tag, 0, False
+        self.at = parent.at + 1 if parent else 0
+        self.named = _named(tag, attributes)
+        self.candidate = not self.named and _zone(tag, attributes, parent is not None and parent.inside)
+        self.never = tag in NEVER or parent is not None and parent.never
+        self.inside = self.named or parent is not None and parent.inside
+        self.link = tag == "a" or parent is not None and parent.link
+        self.holder = kind if kind in ("p", "h") else "other" if parent is None or tag in BLOCKS else parent.holder
+        # the open paragraph that a block's start closes
+        self.paragraph: Element | None = self if tag == "p" else None if parent is None or tag in ("button", "table") else parent.paragraph
+
+    def up(self) -> Iterator[Element]:
+        e: Element | None = self
+        while e is not None:
+            yield e
+            e = e.parent
+
+
+def _count(elements: list[Element], texts: list[tuple[Element, int]]) -> None:
+    for e in elements:
+        e.words = 0
+    for e, n in texts:
+        e.words += n
+    for e in reversed(elements):
+        if e.parent is not None and not e.candidate:
+            e.parent.words += e.words
+
+
+def _settle(elements: list[Element], texts: list[tuple[Element, int]]) -> None:
+    """Take back zones that hold the page's content, then mark what lies in the others."""
+
+    def mark() -> None:
+        for e in elements:
+            e.zones = e.candidate or e.parent is not None and e.parent.zones
+
+    mark()
+    if any(e.candidate for e in elements):
+        _count(elements, texts)
+        free = max((e.words for e in elements if e.named and not e.zones), default=0)
+        held = [e for e in elements if e.named and e.zones and e.words > free]
+        for e in held:
+            while e is not None and e.zones:
+                e.candidate, e.zones, e = False, False, e.parent
+        if held:
+            mark()
+            _count(elements, texts)
+        if not any(e.named and not e.zones and e.words for e in elements):
+            most = max((e for e in elements if e.candidate), key=lambda e: e.words if not e.never else 0, default=None)
+            if most is not None and not most.never and most.words > elements[0].words:
+                for e in most.up():
+                    e.candidate = False
+                mark()
+
+
+def parse(page: str) -> list[tuple[str, str, Element, Element]]:
+    """(kind, name or text, innermost element, element around it if it begins here, else the same) of a page in order."""
+    top = Element(None, "", "")
+    elements, out, texts = [top], [], []
+    stack = [top]
     for kind, name, attributes, closing in tokens(page):
+        e = stack[-1]
         if kind == "text":
-            if not zones:
-                text = html.unescape(name)
-                yield "w:" + ("link" if links else holder[-1]), len(text.split()), text, named > 0
+            text = html.unescape(name)
+            if not e.link:
+                texts.append((e, len(text.split())))
+            out.append((kind, text, e, e))
             continue
         if name in VOID or name not in HOLDERS and name not in BLOCKS:
-            if not zones:
-                yield "t:" + _kind(name), 0, "" if name not in SPACED and name not in BLOCKS else " " if name in SPACED else None, named > 0
+            out.append(("void", name, e, e))
             continue
-        if not closing:
-            zone = _zone(name, attributes, named > 0)
-            own = _named(name, attributes)
-            if name in ("p", "li", "dt", "dd", "tr") and stack and stack[-1][0] == name:  # closed by its follower
-                _, z, o = stack.pop()
-                zones, named = zones - z, named - o
-                holder.pop()
-            if zone and not zones:
-                yield "t:zone", 0, None, named > 0
-            stack.append((name, zone, own))
-            zones, named, links = zones + zone, named + own, links + (name == "a")
-            holder.append(k if (k := _kind(name)) in ("p", "h") else "other" if name in BLOCKS else holder[-1])
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for t, z, o in stack[i:]:
-                        zones, named, links = zones - z, named - o, links - (t == "a")
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == name:
                     del stack[i:]
-                    del holder[i + 1 :]
                     break
-        if not zones and name != "a" and name not in ("span",):
-            yield "t:" + _kind(name), 0, None, named > 0
-        elif not zones:
-            yield "t:" + _kind(name), 0, "", named > 0
+            out.append(("tag", name, stack[-1], stack[-1]))
+            continue
+        if e.tag == "head" and name not in RAW:  # closed by what can't stand in it
+            stack.pop()
+        elif name in BLOCKS and e.paragraph is not None:  # closed by any block
+            del stack[e.paragraph.at :]
+        if name in ("li", "dt", "dd", "tr") and stack[-1].tag == name:  # closed by its follower
+            stack.pop()
+        around = stack[-1]
+        stack.append(Element(around, name, attributes))
+        elements.append(stack[-1])
+        out.append(("tag", name, stack[-1], around))
+    _settle(elements, texts)
+    return out
+
+
+def items(page: str) -> Iterator[tuple[str, int, str | None, bool]]:
+    """(feature, words, text, inside named content) of a page in order; a block's break has text None and a zone counts
+    as a single tag, however long."""
+    for kind, name, e, around in parse(page):
+        if e.zones:
+            if e is not around and not around.zones:
+                yield "t:zone", 0, None, around.inside
+        elif kind == "text":
+            yield "w:" + ("link" if e.link else e.holder), len(name.split()), name, e.inside
+        elif kind == "void":
+            yield "t:" + _kind(name), 0, "" if name not in SPACED and name not in BLOCKS else " " if name in SPACED else None, e.inside
+        else:
+            yield "t:" + _kind(name), 0, "" if name in ("a", "span") else None, e.inside
 
 
 def counts(page: str) -> Counter:

@@ -75,6 +75,31 @@ def test_main_text(holder):
     assert extract.main_text(page, extract.PRIOR) == WANT
 
 
+LONG = "Some words of the article that matter here. " * 20
+BODY = f"<p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<nav><a href="/">x</a></nav><div class="layout has-sidebar"><article>{BODY}</article></div>', LONG),
+        (f'<section id="no-comments"><article>{BODY}</article></section>', LONG),
+        (f'<div class="sidebar"><article>{BODY}</article></div><div class="ad">Buy it</div>', LONG),
+        (f'<main><h1>A title that has quite some words in it</h1><div class="sidebar"><article>{BODY}</article></div></main>', "A title that has quite some words in it\n\n" + LONG),
+        (f'<form class="search"><div>{BODY}</div></form><div>few words</div>', LONG),
+        (f"<head><title>t</title><body>{BODY}", LONG),
+        (f'<article>{BODY}<h2 id="related-work">Related work</h2><h3 id="navigation">More</h3><p class="notice-period">Three months</p></article>', f"{LONG}\n\nRelated work\n\nMore\n\nThree months"),
+        (f'<article>{BODY}<p class="notice">Note<h2>A heading of some words</h2><div>and some text in a box</div><ul><li>one item of a list with words</ul></article>', f"{LONG}\n\nNote\n\nA heading of some words\n\nand some text in a box\n\none item of a list with words"),
+        (f'<div class="content"><aside><p>Note</aside>{BODY}</div>', LONG),
+        (f'<main><article>{BODY}</article><section class="comments-area">' + "<article><p>Nice one indeed, I say.</p></article>" * 60 + "</section></main>", LONG),
+        (f'<article>{BODY}</article><aside class="related-posts"><article><p>Another one</p></article></aside>', LONG),
+        (f'<div><div class="cookie-banner"><p>We use them</p></div>{BODY}</div>', LONG),
+    ],
+)
+def test_zones_hold_no_content(page, want):
+    assert extract.main_text(page, extract.PRIOR) == "\n\n".join(" ".join(x.split()) for x in want.split("\n\n"))
+
+
 def test_odd_pages(spark):
     odd = [None, "", "<", "a < b", "<p", "<!-- x", "<script>x", "<p>x", "</p>" * 5, "&am", "<p class='a>b'>q</p>", "<div " * 1000, "plain words only", "<p>" + "word " * 50000]
     pages = spark.createDataFrame([(i, f"u{i}", p, 1) for i, p in enumerate(odd)] + [(None, None, "<p>y</p>", 1), (7, "u7", "<p>x</p>", 1)], "page_id long, url string, html string, text int")
