@@ -1,8 +1,8 @@
 """Quality rules: text statistics, then a hashed n-gram likelihood ratio of trusted text against the raw corpus.
 
 DataFrame functions only. Tokens are runs of letters and digits or of other visible characters, in lower case; unigrams
-and bigrams fall into BUCKETS by CRC-32. The target multinomial counts documents labelled as good (at most
-`target_rows`, those of least hash), the raw one counts every document. Weights are rounded to millionths, so sums are
+and bigrams fall into BUCKETS by CRC-32. The target multinomial counts all documents labelled as good, the
+raw one counts every document. Weights are rounded to millionths, so sums are
 whole numbers and a verdict never depends on their order.
 
 Defined results: a null text has no words and fails; a text without n-grams has ratio 0; without trusted documents all
@@ -77,12 +77,14 @@ def _buckets(codes: str = "_q_codes") -> Column:
     return F.concat(one, pair)
 
 
-def weights(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> list[int]:
+def weights(docs: DataFrame, labels: DataFrame) -> list[int]:
     """The log ratio of each bucket in millionths. One row for each bucket reaches the driver, however large the corpus."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_q_id")).distinct()
-    good = F.broadcast(good.orderBy(F.xxhash64("_q_id"), "_q_id").limit(target_rows).withColumn("_q_good", F.lit(1)))  # at most target_rows ids
-    coded = _codes(docs.select("doc_id", "text")).join(good, F.col("doc_id") == F.col("_q_id"), "left").select(F.coalesce("_q_good", F.lit(0)).alias("good"), "_q_codes")
-    rows = coded.select("good", F.explode(_buckets()).alias("b")).filter("b is not null")
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_q_id")).distinct().withColumn("_q_good", F.lit(1))
+    # hashed, so that texts are not sorted; rows without id are spread by their texts (a literal 0 as
+    # the other side's key would be taken out of the join, and the salt with it)
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    both = docs.select("doc_id", "text", salt.alias("_q_salt")).join(good.withColumn("_q_none", F.pmod("_q_id", F.lit(1))).hint("shuffle_hash"), (F.col("doc_id") == F.col("_q_id")) & (F.col("_q_salt") == F.col("_q_none")), "left")
+    rows = _codes(both.select(F.coalesce("_q_good", F.lit(0)).alias("good"), "text")).select("good", F.explode(_buckets()).alias("b")).filter("b is not null")
     # counted for each bucket and kind first: a bucket that a third of all n-grams have is summed where it is read
     counts = rows.groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()
     raw, target = [0] * BUCKETS, [0] * BUCKETS
@@ -97,10 +99,10 @@ def weights(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> li
     return [math.floor(1e6 * math.log((t + PRIOR * q) / (all_target + PRIOR) / q) + 0.5) for t, q in zip(target, share)]
 
 
-def assess(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with the base counts, base_failed, n_grams, ratio_sum (millionths) and kept."""
     docs = docs.select(*[c for c in docs.columns if c not in ADDED and not c.startswith("_q")])
-    model = F.from_json(F.lit("[" + ",".join(map(str, weights(docs, labels, target_rows))) + "]"), "array<int>")
+    model = F.from_json(F.lit("[" + ",".join(map(str, weights(docs, labels))) + "]"), "array<int>")
     d = _codes(statistics(docs))
     d = d.withColumn("n_grams", F.greatest(F.lit(0), 2 * F.size("_q_codes") - 1).cast("long"))
     look = lambda b: F.coalesce(F.get(model, b), F.lit(0)).cast("long")
@@ -116,14 +118,14 @@ def assess(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> Dat
     return d.withColumn("kept", ~F.col("base_failed") & good).select(*docs.columns, *ADDED)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that stay, with assess()'s columns.
 
     As a filter, Spark would push the verdict down to the scan and write it out there, every list computed anew for each
     of its elements. So each document is repeated once or not at all instead; the term that Spark takes for random keeps
     it from deriving a filter from that.
     """
-    d = assess(docs, labels, target_rows).withColumn("_q_times", F.when(F.col("kept"), 1).otherwise(0))
+    d = assess(docs, labels).withColumn("_q_times", F.when(F.col("kept"), 1).otherwise(0))
     times = F.col("_q_times") + F.floor(F.rand(0)).cast("int")
     return d.withColumn("_q_one", F.explode(F.array_repeat(F.lit(1), times))).drop("_q_times", "_q_one")
 

@@ -35,6 +35,18 @@ def test_quality_equals_its_sql(spark):
     assert not by.loc[range(100, 140)].kept.any() and by.loc[range(20)].kept.all()
 
 
+def test_quality_counts_every_good_label(spark):
+    n = 24_000  # more than any bound that there was
+    rows = [(i, f"word{i % 7} tail{i % 5}", "en", "a", 1) for i in range(n)] + [(None, "word1 tail1", "en", "a", 1)]
+    marks = [(i, 1, 0) for i in range(n) if i % 15]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64"}))
+    con.register("labels", pd.DataFrame(marks, columns=["doc_id", "quality", "toxic"]))
+    want = {r[0]: r[1] for r in con.sql(quality.ORACLE).select("doc_id, ratio_sum").fetchall()}
+    got = quality.assess(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).filter("doc_id is not null").select("doc_id", "ratio_sum").collect()
+    assert len(got) == n and all(r.ratio_sum == want[r.doc_id] for r in got)
+
+
 def test_quality_without_labels_or_documents(spark):
     none = labels(spark, [])
     got = quality.assess(frame(spark), none).collect()
