@@ -13,7 +13,6 @@ from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,22 +139,20 @@ def pack(docs: DataFrame, length: Column | None = None, sizes: Sequence[int] = S
     h = F.xxhash64(F.lit(seed), "doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("long"), length.cast("long").alias("n"), h.alias("h")).withColumn("g", F.pmod("h", F.lit(groups)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "h", "n"], kind="stable", na_position="last")
+    def run(table: pa.Table) -> pa.Table:  # Arrow: pandas would round the ids beside a null
+        table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("h", "ascending"), ("n", "ascending")])
         docs_, parts, sizes_ = [], [], []
-        for d, n in zip(pdf["doc_id"].tolist(), pdf["n"].tolist()):
-            for p, m in enumerate(split_length(int(n), most)):
+        for d, n in zip(table["doc_id"].to_pylist(), table["n"].to_pylist()):
+            for p, m in enumerate(split_length(n, most)):
                 docs_.append(d)
                 parts.append(p)
                 sizes_.append(m)
         bins, offsets, capacity = variable_best_fit(sizes_, sizes, cost)
-        first = int(pdf["g"].iloc[0]) << 32
-        out = pd.DataFrame({"doc_id": pd.array([None if d != d or d is None else int(d) for d in docs_], "Int64"), "part": parts, "n_tokens": sizes_, "bin_id": bins, "bin_offset": offsets})
-        out["capacity"] = [capacity[b] for b in bins]
-        out["bin_id"] += first
-        return out
+        first = table["g"][0].as_py() << 32
+        small = [pa.array(x, pa.int32()) for x in (parts, sizes_, offsets, [capacity[b] for b in bins])]
+        return pa.table({"doc_id": pa.array(docs_, pa.int64()), "part": small[0], "n_tokens": small[1], "bin_id": pa.array([first + b for b in bins], pa.int64()), "bin_offset": small[2], "capacity": small[3]})
 
-    return rows.groupBy("g").applyInPandas(run, "doc_id long, part int, n_tokens int, bin_id long, bin_offset int, capacity int")
+    return rows.groupBy("g").applyInArrow(run, "doc_id long, part int, n_tokens int, bin_id long, bin_offset int, capacity int")
 
 
 def pack_ids(docs: DataFrame, capacity: int = 4096, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, group_bytes: int = 12 << 20, seed: int = 1) -> DataFrame:

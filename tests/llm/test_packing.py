@@ -83,6 +83,12 @@ def test_pack_places_every_part_once(spark):
     assert got == packing.pack(frame(spark, rows).repartition(3), sizes=(64, 128, 256), per_group=20).collect() or sorted(map(str, got)) == sorted(map(str, packing.pack(frame(spark, rows).repartition(3), sizes=(64, 128, 256), per_group=20).collect()))
 
 
+def test_pack_keeps_large_ids_beside_null_ids(spark):
+    rows = [((1 << 60) + 1, "a b", "en", "a", 3), (None, "c", "en", "a", 1), ((1 << 60) + 2, "d", "en", "a", 1)]
+    got = packing.pack(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter({((1 << 60) + 1, 3): 1, (None, 2): 1, ((1 << 60) + 2, 2): 1})
+
+
 def test_encoder_is_the_vocabulary():
     e = Encoder.of("byte_bpe_50k")
     texts = [t for _, t, *_ in corpus()] + ["a  b", " lead", "trail ", "x\n y", "x \ny", "a\n \nb", "it's  'll", "tab\tx y", "a  b", "   ", "\n", "mixed 12,5 €3!", "<|endoftext|> z"]
