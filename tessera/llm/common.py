@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes hashed at a time; the working arrays take about 40 bytes for each.
 CHUNK = 1 << 18
+#: Nodes of a task's own forest that are held at a time.
+FOREST_ROWS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -184,15 +187,46 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
 # --------------------------------------------------------------------------- components
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """A spanning forest of each task's edges (u, v), every tree a star around its smallest id; FOREST_ROWS edges at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        def stars() -> pa.RecordBatch:
+            pairs = [(find(x), x) for x in list(root)]
+            pairs = [(u, v) for u, v in pairs if u != v]
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.int64()), pa.array([v for _, v in pairs], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(u), find(v)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+            if len(root) >= FOREST_ROWS:
+                yield stars()
+                root.clear()
+        if root:
+            yield stars()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (id, component) for every id of links (a, b): the smallest id that it reaches.
 
-    Alternates large-star and small-star steps until every edge leads from a root to a leaf of its own; each step's edges
-    are written to the shared folder, and the number of steps grows with the logarithm of the longest path. Only whether
-    to go on reaches the driver.
+    Alternates large-star and small-star steps until every edge leads from a root to a leaf of its own; before each step
+    a task's own edges are contracted to a forest, so a step moves no more edges than there are nodes in each task. Each
+    step's edges are written to the shared folder, and the number of steps grows with the logarithm of the longest path.
+    Only whether to go on reaches the driver.
     """
-    spark = links.sparkSession
-    edges = cut(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct(), "edges")
+    edges = links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v")
+    edges = cut(contracted(edges), "edges")
 
     def step(e: DataFrame) -> DataFrame:
         # every larger neighbour of a node is linked to the node's smallest neighbour, or the node
@@ -206,11 +240,11 @@ def components(links: DataFrame) -> DataFrame:
 
     def open_ends(e: DataFrame) -> DataFrame:
         """Nodes that are both root and leaf, or leaves of two roots."""
-        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("root"), F.lit(0).alias("leaf")).union(e.select(F.col("v").alias("id"), F.lit(0).alias("root"), F.lit(1).alias("leaf")))
+        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("root"), F.lit(0).alias("leaf")).union(e.distinct().select(F.col("v").alias("id"), F.lit(0).alias("root"), F.lit(1).alias("leaf")))
         return ends.groupBy("id").agg(F.max("root").alias("root"), F.sum("leaf").alias("leaf")).filter("leaf > 1 or (root = 1 and leaf = 1)")
 
     while open_ends(edges).head(1):
-        new = cut(step(edges), "edges")
+        new = cut(contracted(step(edges)), "edges")
         drop(edges)
         edges = new
     found = edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))

@@ -56,6 +56,28 @@ def test_near_duplicates_in_a_family_of_edits(spark):
     check_near(spark, [(i * 3, t, "en", "a", 1) for i, t in enumerate(texts)], 5)
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    rng = random.Random(15)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(i, t, "en", "a", 1) for i, t in ((5, a), (5, b), (2, a), (3, b), (9, c), (9, ""), (8, c), (7, None), (7, edited(rng, a, 1)))]
+    check_near(spark, rows, 4)
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), k=4).collect()}
+    assert got == {(5, 2), (2, 2), (3, 2), (9, 8), (8, 8), (7, 2)}
+
+
+def test_near_duplicates_in_chained_families(spark, monkeypatch):
+    """Families that pivots alone leave apart, compared as a whole and table by table."""
+    rng = random.Random(16)
+    text, texts = prose(rng, 90), []
+    for _ in range(60):
+        text = edited(rng, text, 2)
+        texts.append(text)
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    check_near(spark, rows, 4)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 3)
+    check_near(spark, rows, 4)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(frame(spark, []), k=4).collect() == []
 
