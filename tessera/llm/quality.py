@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 10_000
+BLANKS = " \t\n\x0b\x0c\r"
 SPACE = "[\\x20\\x09-\\x0D]+"
-TOKEN = "[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+"
+#: a-z and 0-9 are letters and digits anyhow; named first, they are told by one look-up.
+TOKEN = "[a-z0-9\\p{L}\\p{N}]++|[^a-z0-9\\p{L}\\p{N}\\x20\\x09-\\x0D]++"
 #: N-grams of the raw corpus's mixture that are lent to the target: a small trusted set stays near ratio 0.
 PRIOR = 10_000.0
 #: Mean millionths for each n-gram below which a document goes, and n-grams of ratio 0 lent to every document.
@@ -32,33 +34,43 @@ def _at(c: str, i: Column) -> Column:
     return F.get(F.col(c), i)
 
 
+def _doubled(c: str, n: int) -> Column:
+    return F.transform(c, lambda x, i: F.shiftleft(x, n).bitwiseXOR(_at(c, i + n)))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """docs with the five base counts and base_failed. Windows are hashed first; only where two hashes agree are the
     words themselves compared, so the count is exact."""
     text = F.coalesce("text", F.lit(""))
+    trimmed = F.btrim(text, F.lit(BLANKS))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    d = docs.withColumn("_q_words", F.filter(F.split(text, SPACE), lambda w: w != ""))
+    d = docs.withColumn("_q_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE)))
     d = d.withColumns(
         {
             "_q_lines": lines,
-            "_q_hashes": F.transform("_q_words", lambda w: F.xxhash64(w)),
+            "_q_1": F.transform("_q_words", lambda w: F.xxhash64(w)),
             "n_words": F.size("_q_words").cast("long"),
-            "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+            "word_chars": F.length(F.array_join("_q_words", "")).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         }
     )
-    starts = F.sequence(F.lit(0), (F.col("n_words") - 8).cast("int"))
-    windows = F.when(F.col("n_words") > 8, F.transform(starts, lambda i: F.xxhash64(*[_at("_q_hashes", i + j) for j in range(8)])))
-    d = d.withColumns({"_q_windows": windows, "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long")})
-    d = d.withColumn("_q_some", F.coalesce(F.size(F.array_distinct("_q_windows")) < F.size("_q_windows"), F.lit(False)))
-    whole = F.array_sort(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *[_at("_q_words", i + j) for j in range(8)]).alias("w"), i.alias("i"))))
-    d = d.withColumn("_q_sorted", F.when(F.col("_q_some"), whole))
-
-    def twice(x: Column, p: Column) -> Column:
-        same = lambda q: F.coalesce(_at("_q_sorted", q)["w"] == x["w"], F.lit(False))
-        return F.when((p > 0) & same(p - 1) | same(p + 1), x["i"])
-
-    d = d.withColumn("_q_hit", F.when(F.col("_q_some"), F.array_sort(F.filter(F.transform("_q_sorted", twice), lambda i: i.isNotNull()))))
+    # hashes of runs of 2, 4 and 8 words, each made of two of half the length; the last ones reach over the end: null
+    for n in (1, 2, 4):
+        d = d.withColumn(f"_q_{2 * n}", _doubled(f"_q_{n}", n))
+    d = d.withColumns({"_q_windows": F.slice("_q_8", F.lit(1), F.greatest(F.size("_q_8") - 7, F.lit(0))), "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long")})
+    d = d.withColumn("_q_some", F.size(F.array_distinct("_q_windows")) < F.size("_q_windows"))
+    by_hash = F.sort_array(F.transform("_q_windows", lambda h, i: F.struct(h.alias("w"), i.alias("i"))))
+    d = d.withColumn("_q_sorted", F.when(F.col("_q_some"), by_hash))
+
+    def neighbours(c: str) -> Column:
+        """The starts beside which stands an equal window."""
+        same = lambda x, q: F.coalesce(_at(c, q)["w"] == x["w"], F.lit(False))
+        return F.transform(F.filter(c, lambda x, p: (p > 0) & same(x, p - 1) | same(x, p + 1)), lambda x: x["i"])
+
+    d = d.withColumn("_q_some", neighbours("_q_sorted"))
+    words = lambda i: F.array_join(F.slice("_q_words", i + 1, 8), " ")
+    d = d.withColumn("_q_sorted", F.sort_array(F.transform("_q_some", lambda i: F.struct(words(i).alias("w"), i.alias("i")))))
+    d = d.withColumn("_q_hit", F.sort_array(neighbours("_q_sorted")))
     # a start covers eight words, or as many as lie before the next start
     covered = F.aggregate("_q_hit", F.struct(F.lit(0).cast("int").alias("n"), F.lit(-8).cast("int").alias("last")), lambda s, i: F.struct((s["n"] + F.least(F.lit(8), i - s["last"])).alias("n"), i.alias("last")))
     d = d.withColumn("n_repeat_words", F.coalesce(covered["n"], F.lit(0)).cast("long"))
@@ -72,9 +84,13 @@ def _codes(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(codes: str = "_q_codes") -> Column:
-    pair = F.transform(F.col(codes), lambda c, i: F.when(i > 0, F.pmod(_at(codes, i - 1) * 31 + c, F.lit(BUCKETS)).cast("int")))
-    one = F.transform(F.col(codes), lambda c: F.pmod(c, F.lit(BUCKETS)).cast("int"))
-    return F.concat(one, pair)
+    """Buckets of all unigrams, then of all bigrams and a null for the one that begins before the text."""
+    one = F.transform(F.col(codes), lambda c: (c % BUCKETS).cast("int"))
+    return F.concat(one, _pairs(codes))
+
+
+def _pairs(codes: str) -> Column:
+    return F.transform(F.col(codes), lambda c, i: ((_at(codes, i - 1) * 31 + c) % BUCKETS).cast("int"))
 
 
 def weights(docs: DataFrame, labels: DataFrame) -> list[int]:
@@ -105,15 +121,10 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = F.from_json(F.lit("[" + ",".join(map(str, weights(docs, labels))) + "]"), "array<int>")
     d = _codes(statistics(docs))
     d = d.withColumn("n_grams", F.greatest(F.lit(0), 2 * F.size("_q_codes") - 1).cast("long"))
-    look = lambda b: F.coalesce(F.get(model, b), F.lit(0)).cast("long")
-    d = d.withColumn(
-        "ratio_sum",
-        F.aggregate(
-            "_q_codes",
-            F.struct(F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("last")),
-            lambda a, c: F.struct((a["s"] + look(F.pmod(c, F.lit(BUCKETS)).cast("int")) + look(F.pmod(a["last"] * 31 + c, F.lit(BUCKETS)).cast("int"))).alias("s"), c.alias("last")),
-        )["s"],
-    )
+    look = lambda b: F.get(model, b)
+    d = d.withColumn("_q_pairs", _pairs("_q_codes"))
+    ones = F.aggregate("_q_codes", F.lit(0).cast("long"), lambda s, c: s + look((c % BUCKETS).cast("int")))
+    d = d.withColumn("ratio_sum", F.aggregate(F.slice("_q_pairs", F.lit(2), F.size("_q_pairs")), ones, lambda s, b: s + look(b)))
     good = F.col("ratio_sum") >= LEAST_MEAN * (F.col("n_grams") + LENT)
     return d.withColumn("kept", ~F.col("base_failed") & good).select(*docs.columns, *ADDED)
 
