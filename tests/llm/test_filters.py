@@ -112,6 +112,59 @@ def test_zones_hold_no_content(page, want):
     assert extract.main_text(page, extract.PRIOR) == "\n\n".join(" ".join(x.split()) for x in want.split("\n\n"))
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<article><h1>Head</h1><img src="a.png"><img src="b.png">{BODY}<hr><p>Last words</p></article>', f"Head\n\n{LONG}\n\nLast words"),
+        (f"<article>{BODY}<table><tr><td>cell one</td><td>cell two</td></tr><tr><td>three</td></tr></table><p>Tail</p></article>", f"{LONG}\n\ncell one cell two\n\nthree\n\nTail"),
+        (f'<article>{BODY}<section class="related search"><p>Prose about a search that is related to it.</p></section><blockquote class="share">A quote</blockquote></article>', f"{LONG}\n\nProse about a search that is related to it.\n\nA quote"),
+        (f'<article>{BODY}<section class="related"><a href="/">One more</a> <a href="/">Two more</a></section><div class="ad">Buy it</div><div class="comments">No, I think</div></article>', LONG),
+        (f"<article>{BODY}<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", f"{LONG}\n\nwhere x=2 holds"),
+        (f"<article>{BODY}</article><div>\u00a9 2024 Example. All rights reserved.</div>", LONG),
+        (f"<body><nav><a>x</a></nav><h1>Head</h1><img>{BODY}<hr><p>Last words</p><div>&copy; 2024 Example. All rights reserved.</div></body>", f"Head\n\n{LONG}\n\nLast words"),
+        (f'<div id="a"><a href="/">Home</a> <a href="/">About</a></div><div id="b"><h1>Head</h1>{BODY}<ul><li>one</li></ul><p>Tail</p></div><div>Copyright 2020 by us</div>', f"Head\n\n{LONG}\n\none\n\nTail"),
+        (f"<div><h2>Head</h2><table><tr><td>a cell</td></tr></table>{BODY}<pre>code  here</pre></div><div><a>Outside</a> <a>of it</a></div>", f"Head\n\na cell\n\n{LONG}\n\ncode here"),
+        (f'<div class="page"><div class="menu"><a>x</a></div><div class="text">{BODY}<h3>Why</h3>{BODY}</div><div class="footer">foot words</div></div>', f"{LONG}\n\nWhy\n\n{LONG}"),
+        (f"<table><tr><td><a>Home</a><br><a>Links</a></td><td>{BODY}<p>Tail</p></td></tr></table>", f"{LONG}\n\nTail"),
+        (f"<body>{BODY}<figure><img><figcaption>A figure</figcaption></figure>{BODY}<form><input>Search it</form></body>", f"{LONG}\n\nA figure\n\n{LONG}"),
+        (f"<p>{LONG}<p>{LONG}<dl><dt>Term<dd>What it means</dl>", f"{LONG}\n\n{LONG}\n\nTerm\n\nWhat it means"),
+        (f'<section><header><a href="/">Site</a></header>{BODY}<details><summary>More</summary><p>Hidden words of it</p></details></section>', f"{LONG}\n\nMore\n\nHidden words of it"),
+    ],
+)
+def test_heads_tails_and_tables_stay(page, want):
+    want = "\n\n".join(" ".join(x.split()) for x in want.split("\n\n"))
+    assert extract.main_text(page, extract.PRIOR) == want
+    learned = extract.weights({**extract.counts(PAGE.replace("{0}", "article"))})
+    assert extract.main_text(page, learned) == want
+
+
+def test_best_region_is_the_plain_one():
+    rng = random.Random(21)
+    for _ in range(300):
+        x = [rng.choice([-4, -1, -0.5, 0, 0.25, 1, 3]) for _ in range(rng.randrange(0, 30))]
+        a, b = extract.best_region(x)
+        assert sum(x[a:b]) == max([0.0, *(sum(x[i:j]) for i in range(len(x)) for j in range(i, len(x) + 1))])
+
+
+def test_names_are_learned():
+    pages = ['<div class="xq7">Some words here to sell you things</div><article><div class="sidebar note">Words of the text in a box</div><p>and more words</p></article>'] * 30
+    found = sum((extract.counts(p) for p in pages), start=extract.Counter())
+    learned = extract.weights(found)
+    assert learned["c:xq7"] <= extract.ZONE_ODDS and learned["c:sidebar"] > 0
+    assert extract.main_text(f'<div class="xq7">Some words here to sell you things, many more of them than before</div><div class="sidebar">{BODY}</div>', learned) == LONG.strip()
+
+
+@pytest.mark.parametrize("piece", ["<div ", "<" + "a" * 50, "<a '", '<a "', "<div>", "</p>", "<p><b>", "<div></span>", "<!-", "<script", "&", "<a b='c' ", "<div class='ad'>", "<li><ul>"])
+def test_odd_pages_take_linear_time(piece):
+    import time
+
+    page = piece * ((1 << 20) // len(piece))
+    began = time.process_time()
+    extract.main_text(page, extract.PRIOR)
+    extract.main_text(page + ">", extract.PRIOR)
+    assert time.process_time() - began < 20
+
+
 def test_odd_pages(spark):
     odd = [None, "", "<", "a < b", "<p", "<!-- x", "<script>x", "<p>x", "</p>" * 5, "&am", "<p class='a>b'>q</p>", "<div " * 1000, "plain words only", "<p>" + "word " * 50000]
     pages = spark.createDataFrame([(i, f"u{i}", p, 1) for i, p in enumerate(odd)] + [(None, None, "<p>y</p>", 1), (7, "u7", "<p>x</p>", 1)], "page_id long, url string, html string, text int")
