@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -36,7 +38,10 @@ def main() -> None:
     done = lambda df: df.write.format("noop").mode("overwrite").save()
     names = [x.split()[0] for x in ITEM.split(", ")]
     items = read("lineitem").repartition(int(cpus)).select(F.struct(*names).alias("v")).cache()
-    text = items.select(encode("v", ITEM).alias("s")).cache()
+    # read back from Parquet, so that no later plan takes the cached result for its own
+    folder = tempfile.mkdtemp(prefix="bench-")
+    items.select(encode("v", ITEM).alias("s")).write.mode("overwrite").parquet(folder)
+    text = spark.read.parquet(folder).repartition(int(cpus)).cache()
     props = read("events").repartition(int(cpus)).select("props").cache()
     pages = read("pages").repartition(int(cpus)).select("html").cache()
     docs = read("documents").repartition(int(cpus)).select("text").cache()
@@ -66,6 +71,7 @@ def main() -> None:
     print(json.dumps({"metric": "json_total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "mb_per_second_per_core": rate, "sf": float(found[1]) if found else None}))
     sys.stdout.flush()
     spark.stop()
+    shutil.rmtree(folder, ignore_errors=True)
 
 
 if __name__ == "__main__":

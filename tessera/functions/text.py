@@ -15,8 +15,8 @@ from ..options import EncodeOptions
 _MARK = secrets.token_hex(12)
 #: A number that may be beyond a double's range.
 _HUGE = r"[eE]\+?0*[0-9]{3,}|[0-9]{309,}"
-#: Control characters whose built-in escapes are in upper case.
-_UPPER_CONTROL = "[\x0b\x0e\x0f\x1a-\x1f]"
+# Control characters whose built-in escapes have letters, which are in upper case.
+_UPPER_CONTROL = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
 
 
 def prepare(spark: SparkSession) -> None:
@@ -57,9 +57,10 @@ def json_quote(c: "Column | str", options: EncodeOptions = EncodeOptions()) -> C
         s = F.make_valid_utf8(s)
     text = F.to_json(F.struct(s.alias("v")))
     plain = F.substr(text, F.lit(6), F.length(text) - 6)
-    odd = s.rlike(_UPPER_CONTROL)
-    exact = F.arrow_udf(lambda x: pa.array([None if v is None else codec.quote(v) for v in x.to_pylist()], pa.string()), "string")
-    return escape(F.when(odd, exact(F.when(odd, s))).otherwise(plain), options)
+    lower = plain  # an escape begins behind an even number of backslashes
+    for code in _UPPER_CONTROL:
+        lower = F.regexp_replace(lower, r"(?<!\\)((?:\\\\)*+)\\u00" + code, r"$1\\u00" + code.lower())
+    return escape(F.when(plain.contains("\\u00"), lower).otherwise(plain), options)
 
 
 def escape(text: Column, options: EncodeOptions) -> Column:
@@ -80,7 +81,7 @@ def float_text(c: "Column | str", single: bool = False, exp_auto: bool = False)
     shortest; the rest go to the codec.
     """
     x = col(c).cast("double")
-    text = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", x), "0+$", ""), "\\.$", "")
+    text = F.rtrim(F.rtrim(x.try_cast("decimal(24,4)").cast("string"), F.lit("0")), F.lit("."))
     near = F.abs(x).between(F.lit(1e-4), F.lit(9.9e10)) & (F.round(x * 10000) / 10000 == x) if not single else F.abs(x).between(F.lit(1.0), F.lit(1e6)) & (x == F.floor(x))
     exact = F.arrow_udf(lambda v: pa.array([None if y is None or y != y or abs(y) == float("inf") else codec.float_text(y, single, exp_auto) for y in v.to_pylist()], pa.string()), "string")
     return F.when(near, text).otherwise(exact(F.when(~near, x)))

@@ -45,9 +45,15 @@ class Number(str):
 
 
 class Raw(str):
-    """A value's own text."""
+    """A value's own text, and the place of its end in the document."""
 
-    __slots__ = ()
+    __slots__ = ("end",)
+
+
+def _raw(text: str, a: int, b: int, base: int) -> Raw:
+    out = Raw(text[a:b])
+    out.end = base + b
+    return out
 
 
 def _refuse(word: str) -> object:
@@ -65,15 +71,20 @@ def _fail(text: str, e: json.JSONDecodeError | StopIteration | RecursionError, a
     pos = getattr(e, "pos", getattr(e, "value", at))
     pos = pos if isinstance(pos, int) else at
     if pos >= len(text.rstrip(" \t\n\r")) or "Unterminated" in str(e):
-        return UnexpectedEndError("unexpected end of JSON input", offset=len(text))
-    return JsonSyntaxError(f"invalid character {text[pos]!r}", offset=pos)
+        return UnexpectedEndError("unexpected end of JSON input", offset=n_bytes(text))
+    return JsonSyntaxError(f"invalid character {text[pos]!r}", offset=n_bytes(text[:pos]))
+
+
+def n_bytes(text: str) -> int:
+    """UTF-8 bytes: offsets count these."""
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
 
 
 def scan(text: str, at: int = 0) -> tuple[object, int]:
     """The value that begins at `at` (after white space) and its end. Strings are str, numbers Number."""
     at = _WS.match(text, at).end()
     if at >= len(text):
-        raise UnexpectedEndError("unexpected end of JSON input", offset=len(text))
+        raise UnexpectedEndError("unexpected end of JSON input", offset=n_bytes(text))
     try:
         return _DECODER.scan_once(text, at)
     except (json.JSONDecodeError, StopIteration) as e:
@@ -145,7 +156,7 @@ def document(text: str) -> object:
     value, end = scan(text)
     end = _WS.match(text, end).end()
     if end != len(text):
-        raise JsonSyntaxError(f"invalid character {text[end]!r} after top-level value", offset=end)
+        raise JsonSyntaxError(f"invalid character {text[end]!r} after top-level value", offset=n_bytes(text[:end]))
     return value
 
 
@@ -189,6 +200,20 @@ def values(text: str) -> list[tuple[str | None, dict | None]]:
     return out
 
 
+def rest(text: str) -> str:
+    """What values() leaves unread: the text from a malformed or unfinished last value on."""
+    at = 0
+    while (at := _WS.match(text, at).end()) < len(text):
+        try:
+            at = scan(text, at)[1]
+        except JsonSyntaxError:
+            line = text.find("\n", at)
+            if line < 0:
+                break
+            at = line + 1
+    return text[at:]
+
+
 def members(text: str, at: int) -> tuple[list[tuple[str, int, int]], int]:
     """(key, start, end) of the members of the object that begins at `at`, and the object's end."""
     out = []
@@ -219,18 +244,18 @@ def _needs_spans(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.MapType) and _needs_spans(dtype.valueType)
 
 
-def _spanned(text: str, at: int) -> tuple[object, int]:
-    """scan(), with every object's members as Raw texts to be read when they are asked for."""
+def _spanned(text: str, at: int, base: int = 0) -> tuple[object, int]:
+    """scan(), with every object's members as Raw texts to be read when they are asked for. base: the text's own place."""
     at = _WS.match(text, at).end()
     if text[at : at + 1] == "{":
         parts, end = members(text, at)
-        return {k: Raw(text[a:b]) for k, a, b in parts}, end
+        return {k: _raw(text, a, b, base) for k, a, b in parts}, end
     if text[at : at + 1] == "[":
         _, end = scan(text, at)
         out, p = [], _WS.match(text, at + 1).end()
         while text[p] != "]":
             _, q = scan(text, p)
-            out.append(Raw(text[p:q]))
+            out.append(_raw(text, p, q, base))
             p = _WS.match(text, q).end()
             if text[p] == ",":
                 p = _WS.match(text, p + 1).end()
@@ -251,12 +276,20 @@ def kind_of(v: object) -> str:
 _ZERO = {T.BooleanType: False, T.StringType: "", T.FloatType: 0.0, T.DoubleType: 0.0, T.ByteType: 0, T.ShortType: 0, T.IntegerType: 0, T.LongType: 0, T.DecimalType: Decimal(0)}
 
 
+def fold(name: str) -> str:
+    """A key without regard to case: letters fold only to letters of as many bytes, so the Kelvin sign is no k."""
+    if name.isascii():
+        return name.lower()
+    return "".join(d if len(d := c.casefold()) == 1 and len(d.encode()) == len(c.encode()) else c for c in name)
+
+
 class Reader:
     """Documents to values of a type. The first mismatch is kept in `error`."""
 
     def __init__(self, dtype: T.DataType, options: DecodeOptions):
         self.dtype, self.options, self.spans = dtype, options, _needs_spans(dtype)
         self.error: JsonTypeError | None = None
+        self.at, self.always = 0, False  # the end of the value at hand; whether members are read by their spans
 
     def read(self, text: str | None) -> tuple[object, dict | None]:
         """(value, error row). A syntax error has no value; a mismatch leaves its field null."""
@@ -267,7 +300,14 @@ class Reader:
             tree = document(text)
             if self.spans:
                 tree, _ = _spanned(text, 0)
+            self.at = len(text)
             value = self.value(tree, self.dtype, {}, "")
+            if self.error and not self.spans:  # again, for the place of the mismatch
+                self.error, self.always = None, True
+                self.value(_spanned(text, 0)[0], self.dtype, {}, "")
+                self.always = False
+            if self.error:
+                self.error.offset = n_bytes(text[: self.error.offset])
         except JsonSyntaxError as e:
             return None, e.row()
         except HookError as e:
@@ -277,6 +317,7 @@ class Reader:
     def mismatch(self, v: object, target: str, field: str) -> None:
         if self.error is None:
             self.error = JsonTypeError.of(kind_of(v), target, field)
+            self.error.offset = self.at
 
     def value(self, v: object, dtype: T.DataType, meta: dict, field: str) -> object:
         kind = str(meta.get("json.kind", ""))
@@ -285,7 +326,8 @@ class Reader:
         if kind.startswith("hook:"):
             return self.hook(v, kind[5:], field)
         if isinstance(v, Raw):
-            v = _spanned(v, 0)[0] if _needs_spans(dtype) else scan(v, 0)[0]
+            self.at = v.end
+            v = _spanned(v, 0, v.end - len(v))[0] if self.always or _needs_spans(dtype) else scan(v, 0)[0]
         if meta.get("json.string") and v is not None:
             v = self.unquoted(v, dtype, field)
             if v is None:
@@ -359,8 +401,8 @@ class Reader:
                 if folded is None:
                     folded = {}
                     for g in dtype:
-                        folded.setdefault(g.name.casefold(), g)
-                f = folded.get(_clean(k).casefold())
+                        folded.setdefault(fold(g.name), g)
+                f = folded.get(fold(_clean(k)))
             if f is not None:
                 out[f.name] = self.value(x, f.dataType, f.metadata, f"{field}.{f.name}" if field else f.name)
         return out
@@ -410,6 +452,7 @@ class Reader:
         if v is None or isinstance(v, Raw) and v == "null":
             return None
         raw = str(v) if isinstance(v, Raw) else writer_text(v)
+        self.at = getattr(v, "end", self.at)
         if text:
             inner = scan(raw)[0]
             if not isinstance(inner, str) or isinstance(inner, Number):
@@ -445,11 +488,16 @@ _ESCAPED = re.compile(r'["\\\x00-\x1f]')
 def quote(s: str, options: EncodeOptions = EncodeOptions()) -> str:
     """A JSON string; control characters without a short form are \\u00xx in lower case."""
     out = '"' + _ESCAPED.sub(lambda m: _ESCAPES.get(m.group()) or f"\\u{ord(m.group()):04x}", s) + '"'
+    return escaped(out, options)
+
+
+def escaped(text: str, options: EncodeOptions) -> str:
+    """The optional escapes on finished JSON text."""
     if options.escape_html:
-        out = out.replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
+        text = text.replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
     if options.escape_line_terms:
-        out = out.replace("\u2028", "\\u2028").replace("\u2029", "\\u2029")
-    return out
+        text = text.replace("\u2028", "\\u2028").replace("\u2029", "\\u2029")
+    return text
 
 
 def float_text(x: float, single: bool = False, exp_auto: bool = False) -> str:
@@ -509,9 +557,9 @@ class Writer:
     def __init__(self, dtype: T.DataType, options: EncodeOptions):
         self.dtype, self.options = dtype, options
 
-    def write(self, v: object) -> tuple[str | None, dict | None]:
+    def write(self, v: object, meta: dict = {}) -> tuple[str | None, dict | None]:
         try:
-            return self.text(v, self.dtype, {}, 0), None
+            return self.text(v, self.dtype, meta, 0), None
         except (UnsupportedValueError, HookError) as e:
             return None, e.row()
 
@@ -561,20 +609,31 @@ class Writer:
         if isinstance(dtype, T.MapType):
             pairs = v.items() if isinstance(v, dict) else v
             if meta.get("json.keys"):
-                pairs = [(HOOKS[meta["json.keys"]][1](k), x) for k, x in pairs]
+                try:
+                    pairs = [(HOOKS[meta["json.keys"]][1](k), x) for k, x in pairs]
+                except Exception as e:
+                    raise HookError(f"{meta['json.keys']}: {e}") from e
             return "{" + ",".join(quote(str(k), self.options) + ":" + self.text(x, dtype.valueType, {}, depth + 1) for k, x in pairs) + "}"
-        return str(v)
+        return escaped(str(v), self.options)  # a variant's own text
 
     def quoted(self, text: str, meta: dict) -> str:
         return f'"{text}"' if meta.get("json.string") else text
 
 
-def time_text(t: datetime) -> str:
-    """RFC 3339 with the fraction's trailing zeros cut."""
+def time_text(t: datetime | int) -> str:
+    """RFC 3339 with the fraction's trailing zeros cut, of a time or of microseconds since 1970."""
+    earlier = 0
+    if isinstance(t, int):
+        day, micros = divmod(t, 86_400_000_000)
+        earlier = 400 if -719_528 <= day < -719_162 else 0  # the year 0 is none of Python's; the calendar repeats after 400
+        try:
+            t = datetime(1970, 1, 1) + timedelta(days=day + (146_097 if earlier else 0), microseconds=micros)
+        except OverflowError:
+            raise UnsupportedValueError("year outside 0..9999") from None
     if t.tzinfo is not None:
         t = t.astimezone(timezone.utc)
     fraction = f".{t.microsecond:06d}".rstrip("0") if t.microsecond else ""
-    return f"{t.year:04d}-{t.month:02d}-{t.day:02d}T{t.hour:02d}:{t.minute:02d}:{t.second:02d}{fraction}Z"
+    return f"{t.year - earlier:04d}-{t.month:02d}-{t.day:02d}T{t.hour:02d}:{t.minute:02d}:{t.second:02d}{fraction}Z"
 
 
 _PIECE = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^{}\[\],:"\s]+', re.S)

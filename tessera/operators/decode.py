@@ -16,14 +16,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import ERROR_DDL, InvalidTargetError
-from ..functions.text import _HUGE, col, whole, wrapped
+from ..functions.text import col, whole, wrapped
 from ..options import DecodeOptions
 from ..schema import Record, check, plain
 from . import codec
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
-#: Numbers that may overflow and escapes of lone surrogates: parsed, but not as they should be.
-_ODD = _HUGE + r"|\\u[dD][89a-fA-F]"
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _INTEGERS = {T.ByteType: (-(1 << 7), (1 << 7) - 1), T.ShortType: (-(1 << 15), (1 << 15) - 1), T.IntegerType: (-(1 << 31), (1 << 31) - 1), T.LongType: None}
 
@@ -69,8 +67,16 @@ def _pattern(dtype: T.DataType) -> str:
     return "(?:VOID|BIGINT)"
 
 
+def _skips(dtype: T.StructType, fold: bool) -> tuple[str, str | None]:
+    """Patterns of a shape that has a field's key with an unfit value, or one that differs from a field's in case only.
+    They look at every key, nested ones too: what they find by mistake goes to the codec."""
+    bad = "|".join(f"{f.name}: (?!{_pattern(f.dataType)}[,>])" for f in dtype)
+    names = "|".join(f.name for f in dtype)
+    return f"[<, ]`?(?:{bad})", rf"[<, ](?!(?:{names}): )(?i:`?(?:{names})`?: )" if fold else None
+
+
 def _fits(x: Column, dtype: T.DataType) -> Column:
-    """Whether the integers of a widened value lie in their own type's range."""
+    """Whether the integers of a widened value lie in their own type's range, and no double is infinite."""
     if isinstance(dtype, T.StructType):
         out = F.lit(True)
         for f in dtype:
@@ -79,6 +85,8 @@ def _fits(x: Column, dtype: T.DataType) -> Column:
         return out
     if isinstance(dtype, T.ArrayType):
         return F.coalesce(F.forall(x, lambda e: _fits(e, dtype.elementType)), F.lit(True))
+    if isinstance(dtype, T.DoubleType):
+        return F.coalesce(F.abs(x) != float("inf"), F.lit(True))
     lo, hi = _INTEGERS[type(dtype)]
     return F.coalesce(x.between(lo, hi), F.lit(True))
 
@@ -88,14 +96,14 @@ def _narrow(dtype: T.DataType) -> bool:
         return any(_narrow(f.dataType) for f in dtype)
     if isinstance(dtype, T.ArrayType):
         return _narrow(dtype.elementType)
-    return bool(_INTEGERS.get(type(dtype)))
+    return isinstance(dtype, T.DoubleType) or bool(_INTEGERS.get(type(dtype)))
 
 
 def _codec(s: Column, dtype: T.DataType, options: DecodeOptions) -> Column:
     """The codec over a text column: struct<value, error>, null for a null document."""
     hooks = dict(codec.HOOKS)
     variant = _has_variant(dtype)
-    out_type = _no_variant(dtype) if variant else dtype
+    out_type = _no_variant(dtype) if variant else _plainly(dtype)
     arrow = pa.struct([("value", to_arrow_type(out_type)), ("error", to_arrow_type(T.StructType.fromDDL(f"e {ERROR_DDL}")[0].dataType))])
 
     def run(x: pa.Array) -> pa.Array:
@@ -103,7 +111,11 @@ def _codec(s: Column, dtype: T.DataType, options: DecodeOptions) -> Column:
         reader = codec.Reader(dtype, options)
         return pa.array([None if v is None else dict(zip(("value", "error"), reader.read(v))) for v in x.to_pylist()], arrow)
 
-    return F.arrow_udf(run, f"struct<value: {out_type.simpleString()}, error: {ERROR_DDL}>")(s)
+    return F.arrow_udf(run, _answer(out_type))(s)
+
+
+def _answer(dtype: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("value", dtype), T.StructField("error", T.StructType.fromDDL(f"e {ERROR_DDL}")[0].dataType)])
 
 
 def _has_variant(dtype: T.DataType) -> bool:
@@ -145,8 +157,8 @@ def decode(c: "Column | str", schema: "T.DataType | Record | str", options: Deco
         raise InvalidTargetError(f"can't decode into {schema!r}")
     check(dtype)
     s = col(c)
-    out_type = f"struct<value: {dtype.simpleString()}, error: {ERROR_DDL}>"
-    none = F.struct(F.lit(None).cast(dtype).alias("value"), F.lit(None).cast(ERROR_DDL).alias("error"))
+    out_type = _answer(_plainly(dtype))
+    none = F.struct(F.lit(None).cast(_plainly(dtype)).alias("value"), F.lit(None).cast(ERROR_DDL).alias("error"))
     if not options.native or options.zero_fill or options.use_number or not native_schema(dtype):
         got = _codec(s, dtype, options)
         if _has_variant(dtype):
@@ -156,16 +168,13 @@ def decode(c: "Column | str", schema: "T.DataType | Record | str", options: Deco
     v = F.try_variant_get(w, "$[0]", "variant")
     shape = F.schema_of_variant(v)
     fits = shape.rlike(f"^{_pattern(dtype)}$") & (shape != "VOID")
-    if len(dtype) <= 16:  # or other keys beside the schema's, which are skipped
-        loose = shape.startswith("OBJECT<")
-        for f in dtype:
-            found = F.schema_of_variant(F.try_variant_get(v, f"$.{f.name}", "variant"))
-            loose = loose & F.coalesce(found.rlike(f"^{_pattern(f.dataType)}$"), F.lit(True))
-            if options.fold_keys:  # a key that only differs in case may be the field's
-                loose = loose & (found.isNotNull() | ~shape.rlike(f"(?i)[<, ]`?{f.name}`?: "))
-        fits = fits | loose
-    clean = ~s.rlike(_ODD) & whole(w) & fits
-    typed = F.from_json(s, _wide(dtype).simpleString(), _STRICT)
+    # or other keys beside the schema's, which are skipped
+    bad, folded = _skips(dtype, options.fold_keys)
+    loose = shape.startswith("OBJECT<") & ~shape.rlike(bad)
+    fits = fits | (loose & ~shape.rlike(folded) if folded else loose)
+    # escapes of lone surrogates are parsed, but not as they should be
+    clean = ~s.contains("\\ud") & ~s.contains("\\uD") & whole(w) & fits
+    typed = F.from_json(s, _wide(dtype), _STRICT)
     if _narrow(dtype):
         clean = clean & _fits(typed, dtype)
     # the codec sees only what isn't clean, and its answer alone tells later on which documents those were
@@ -175,8 +184,11 @@ def decode(c: "Column | str", schema: "T.DataType | Record | str", options: Deco
 
 
 def _plainly(dtype: T.DataType) -> T.DataType:
+    """The type without its fields' metadata."""
     if isinstance(dtype, T.StructType):
         return T.StructType([T.StructField(f.name, _plainly(f.dataType)) for f in dtype])
+    if isinstance(dtype, T.MapType):
+        return T.MapType(dtype.keyType, _plainly(dtype.valueType))
     return T.ArrayType(_plainly(dtype.elementType)) if isinstance(dtype, T.ArrayType) else dtype
 
 

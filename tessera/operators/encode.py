@@ -40,7 +40,7 @@ def _hook(x: Column, name: str, dtype: T.DataType) -> Column:
     def run(a: pa.Array) -> pa.Array:
         codec.HOOKS.update(hooks)
         writer = codec.Writer(dtype, EncodeOptions())
-        return pa.array([writer.text(v, dtype, field.metadata, 0) for v in a.to_pylist()], pa.string())
+        return pa.array([writer.write(v, field.metadata)[0] for v in a.to_pylist()], pa.string())
 
     return F.arrow_udf(run, "string")(x)
 
@@ -95,20 +95,22 @@ def _object(x: Column, dtype: T.StructType, options: EncodeOptions, depth: int)
         if f.metadata.get("json.omitempty"):
             gone = _zero(v, f.dataType, f.metadata)
             parts.append(F.when(~gone, part))
-            if _fails(f.dataType):
+            if _fails(f.dataType, f.metadata):
                 whole = whole & (gone | text.isNotNull())
         else:
             parts.append(part)
-            if _fails(f.dataType):
+            if _fails(f.dataType, f.metadata):
                 whole = whole & text.isNotNull()
     out = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")) if parts else F.lit("{}")
-    return F.when(whole, out) if any(_fails(f.dataType) for f in dtype) else out
+    return F.when(whole, out) if _fails(dtype) else out
 
 
-def _fails(dtype: T.DataType) -> bool:
+def _fails(dtype: T.DataType, meta: dict = {}) -> bool:
     """Whether a value of this type can have no JSON form."""
+    if str(meta.get("json.kind", "")).startswith("hook:"):
+        return True
     if isinstance(dtype, T.StructType):
-        return any(_fails(f.dataType) for f in dtype)
+        return any(_fails(f.dataType, f.metadata) for f in dtype)
     if isinstance(dtype, T.ArrayType):
         return _fails(dtype.elementType)
     if isinstance(dtype, T.MapType):
@@ -119,14 +121,43 @@ def _fails(dtype: T.DataType) -> bool:
 def _loops(dtype: T.DataType) -> bool:
     """Whether an Arrow function would stand inside a lambda, which Spark doesn't allow."""
     if isinstance(dtype, T.StructType):
-        return any(_loops(f.dataType) for f in dtype)
+        return any(f.metadata.get("json.keys") is not None or _loops(f.dataType) for f in dtype)
     if isinstance(dtype, T.ArrayType):
-        return _calls(dtype.elementType)
-    return isinstance(dtype, T.MapType)
+        return _calls(dtype.elementType, {})
+    return isinstance(dtype, T.MapType) and _calls(dtype.valueType, {})
 
 
-def _calls(dtype: T.DataType) -> bool:
-    return not isinstance(dtype, (T.BooleanType, T.IntegralType, T.DecimalType, T.BinaryType, T.VariantType, T.TimestampType))
+def _calls(dtype: T.DataType, meta: dict) -> bool:
+    """Whether a value's text takes an Arrow function."""
+    if str(meta.get("json.kind", "")).startswith("hook:") or meta.get("json.keys"):
+        return True
+    if isinstance(dtype, T.StructType):
+        return any(_calls(f.dataType, f.metadata) for f in dtype)
+    if isinstance(dtype, T.ArrayType):
+        return _calls(dtype.elementType, {})
+    return _calls(dtype.valueType, {}) if isinstance(dtype, T.MapType) else isinstance(dtype, (T.FloatType, T.DoubleType))
+
+
+def _portable(x: Column, dtype: T.DataType) -> Column:
+    """The value as an Arrow function can take it: variants as their text, times in microseconds (a year beyond 9999 is
+    none of Python's)."""
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(x)
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(x)
+    if isinstance(dtype, T.StructType) and _foreign(dtype):
+        return F.when(x.isNotNull(), F.struct(*[_portable(x[f.name], f.dataType).alias(f.name) for f in dtype]))
+    if isinstance(dtype, T.ArrayType) and _foreign(dtype):
+        return F.transform(x, lambda e: _portable(e, dtype.elementType))
+    return F.transform_values(x, lambda _, v: _portable(v, dtype.valueType)) if isinstance(dtype, T.MapType) and _foreign(dtype) else x
+
+
+def _foreign(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_foreign(f.dataType) for f in dtype)
+    if isinstance(dtype, T.ArrayType):
+        return _foreign(dtype.elementType)
+    return _foreign(dtype.valueType) if isinstance(dtype, T.MapType) else isinstance(dtype, (T.VariantType, T.TimestampType))
 
 
 def encode(c: "Column | str", schema: "T.DataType | Record | str", options: EncodeOptions = EncodeOptions()) -> Column:
@@ -155,7 +186,7 @@ def _codec(x: Column, dtype: T.DataType, options: EncodeOptions) -> Column:
         writer = codec.Writer(dtype, options)
         return pa.array([dict(zip(("text", "error"), writer.write(v))) for v in a.to_pylist()], arrow)
 
-    return F.arrow_udf(run, f"struct<text: string, error: {ERROR_DDL}>")(x)
+    return F.arrow_udf(run, f"struct<text: string, error: {ERROR_DDL}>")(_portable(x, dtype))
 
 
 def append_encode(prefix: "Column | str", c: "Column | str", schema: "T.DataType | Record | str", options: EncodeOptions = EncodeOptions()) -> Column:

@@ -10,6 +10,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import dynamic, float_text, is_valid, json_quote, prepare, raw_member, time_value
 from ..operators.codec import register_codec
@@ -17,7 +18,7 @@ from ..operators.decode import decode, fixed_array
 from ..operators.encode import append_encode, encode, encode_checked, encode_indent
 from ..options import DecodeOptions, EncodeOptions
 from ..schema import Field, Record
-from ..sources.ndjson import decode_records, read_values, split_values, write_ndjson
+from ..sources.ndjson import decode_records, read_values, split_values, unread, write_ndjson
 from ..streaming.ndjson import read_stream, write_stream
 
 QUERIES: dict = {}
@@ -325,6 +326,71 @@ def roundtrip(t):
     return e.select("event_id", (decode(encode("v", schema), schema)["value"] == F.col("v").cast(f"struct<{schema}>")).alias("same"))
 
 
+@_query("SELECT event_id, '{\"v\":{\"k\":' || CAST(json_extract(props, '$.k') AS BIGINT) || '},\"m\":{\"x\":{\"k\":' || CAST(json_extract(props, '$.k') AS BIGINT) || '},\"y\":[1.5,\"<\",null]}}' AS j FROM events")
+def encode_dynamic(t):
+    m = F.create_map(F.lit("x"), F.parse_json("props"), F.lit("y"), F.parse_json(F.lit('[1.50, "<", null]')))
+    return t("events").select("event_id", encode(F.struct(F.parse_json("props").alias("v"), m.alias("m")), "v variant, m map<string,variant>").alias("j"))
+
+
+@_query("SELECT n_nationkey, n_name AS name, n_regionkey::BIGINT AS region, '{\"the name\":\"' || n_name || '\",\"-\":' || n_regionkey || '}' AS j FROM nation")
+def decode_odd_names(t):
+    r = Record([Field("the name", "string"), Field("dash", "bigint", "-,")]).struct()
+    d = decode(_doc('{"other":[],"the name":"', F.col("n_name"), '","-":', F.col("n_regionkey"), "}"), r)["value"]
+    return t("nation").select("n_nationkey", d.alias("d")).select("n_nationkey", F.col("d")["the name"].alias("name"), F.col("d")["-"].alias("region"), encode("d", r).alias("j"))
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN '{\"t\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z\"}' END AS text, CASE WHEN o_orderkey % 3 = 0 THEN 'value' END AS kind FROM orders")
+def encode_year_error(t):
+    late = F.timestamp_micros(F.lit(253402300800000000) + F.col("o_orderkey"))
+    v = F.struct(F.when(F.col("o_orderkey") % 3 == 0, late).otherwise(F.col("o_orderdate").cast("timestamp")).alias("t"))
+    return t("orders").select("o_orderkey", encode_checked(v, "t timestamp").alias("d")).select("o_orderkey", "d.text", "d.error.kind")
+
+
+@_query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '{\"x\":' || n_nationkey || '}' END AS j, CASE WHEN n_nationkey % 2 = 1 THEN 'hook' END AS kind FROM nation")
+def encode_hook_error(t):
+    def even(v: int) -> str:
+        if v % 2:
+            raise ValueError("odd")
+        return str(v)
+
+    register_codec("even", encode=even)
+    r, v = Record([Field("x", "int", kind="hook:even")]).struct(), F.struct(F.col("n_nationkey").alias("x"))
+    return t("nation").select("n_nationkey", encode(v, r).alias("j"), encode_checked(v, r)["error"]["kind"].alias("kind"))
+
+
+@_query("SELECT s_suppkey, 'é' AS a, (16 + len(s_suppkey::VARCHAR))::INTEGER AS type_at, (12 + len(s_suppkey::VARCHAR))::INTEGER AS syntax_at FROM supplier")
+def decode_offsets(t):
+    mismatch = decode(_doc('{"a":"é","b":"', F.col("s_suppkey"), '"}'), "a string, b bigint")
+    syntax = decode(_doc('{"a":"é","', F.col("s_suppkey"), '";1}'), "a string")
+    return t("supplier").select("s_suppkey", mismatch["value"]["a"].alias("a"), mismatch["error"]["offset"].alias("type_at"), syntax["error"]["offset"].alias("syntax_at"))
+
+
+@_query(
+    "SELECT c_custkey, c_name AS name, 'v' || c_nationkey AS label, c_custkey * 1000003 AS id, 2::BIGINT AS seats, c_acctbal AS price, false AS is_error FROM customer"
+)
+def decode_deep(t):
+    """A list of records with label maps, quoted ids, maps with integer keys, escapes and keys that the schema lacks."""
+    doc = _doc(
+        '{"kind":"List","items":[{"metadata":{"labels":{"app":"v', F.col("c_nationkey"), '","tier":"\\u00e9\\n"},"annotations":{},"uid":null},"spec":{"name":"', F.col("c_name"),
+        '","containers":[{"image":"a\\/b","ports":[80,443]},{"args":["-c","\\"x\\""]}]},"status":{"phase":[[[1.5,2]],[]]}}],"max_id_str":"', F.col("c_custkey") * 1000003,
+        '","areas":{"7":[1,2],"205":[]},"price":', F.col("c_acctbal"), ',"extra":{"deep":[{"x":[]}]}}',
+    )
+    item = Record([
+        Field("metadata", Record([Field("labels", "map<string,string>"), Field("annotations", "map<string,string>"), Field("uid", "string")])),
+        Field("spec", Record([Field("name", "string"), Field("containers", "array<struct<image: string, ports: array<int>, args: array<string>>>")])),
+        Field("status", Record([Field("phase", "array<array<array<double>>>")])),
+    ]).struct()
+    r = T.StructType([T.StructField("items", T.ArrayType(item)), *Record([Field("max_id_str", "bigint", ",string"), Field("areas", "map<bigint,array<bigint>>"), Field("price", "double")]).struct()])
+    d = t("customer").select("c_custkey", decode(doc, r).alias("d")).select("c_custkey", "d.*")
+    one = F.col("value.items")[0]
+    return d.select("c_custkey", one["spec"]["name"].alias("name"), one["metadata"]["labels"]["app"].alias("label"), F.col("value.max_id_str").alias("id"), F.size(F.col("value.areas")[F.lit(7).cast("bigint")]).cast("bigint").alias("seats"), F.col("value.price").alias("price"), F.col("error").isNotNull().alias("is_error"))
+
+
+@_query("SELECT p_partkey, '[' || p_partkey AS rest FROM part")
+def unread_rest(t):
+    return t("part").select("p_partkey", unread(_doc('{"x":', F.col("p_partkey"), "} [", F.col("p_partkey"))).alias("rest"))
+
+
 _LINES = "CASE WHEN p_partkey % 5 = 0"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ERROR_DDL
-from ..operators.codec import values
+from ..operators.codec import rest, values
 from ..operators.decode import decode
 from ..operators.encode import encode
 from ..options import DecodeOptions, EncodeOptions
@@ -30,14 +30,21 @@ def decode_records(lines: DataFrame, schema: "T.DataType | Record | str", mode:
     others = [c for c in lines.columns if c not in ("value", "error", "raw")]
     rows = lines.select(*others, F.col("value").alias("raw")).filter(~F.col("raw").rlike(r"^[ \t\r]*$"))
     rows = rows.withColumn("_decoded", decode("raw", schema, options))
-    rows = rows.select(*others, F.col("_decoded.value").alias("value"), F.col("_decoded.error").alias("error"), "raw")
+    # the term that Spark takes for random keeps a filter on the result from being pushed below it and decoding again
+    rows = rows.select(*others, F.col("_decoded.value").alias("value"), F.col("_decoded.error").alias("error"), "raw", F.rand(0).alias("_once"))
     if mode == "drop":
-        return rows.filter(F.col("error").isNull())
-    refused = F.col("error").isNotNull() if mode == "fail" else F.lit(False)
+        return rows.filter(F.col("error").isNull() & (F.col("_once") >= 0)).drop("_once")
+    if mode != "fail" and skip is None:
+        return rows.drop("_once")
+    refused = F.col("error").isNotNull()
     if skip is not None:
-        refused = F.col("error").isNotNull() & ~F.coalesce(skip(F.col("error.kind")), F.lit(False))
-    stop = F.raise_error(F.concat(F.lit("bad JSON record: "), F.col("error.message"))).cast(ERROR_DDL)
-    return rows.withColumn("error", F.when(refused, stop).otherwise(F.col("error"))) if mode == "fail" or skip is not None else rows
+        refused = refused & ~F.coalesce(skip(F.col("error.kind")), F.lit(False))
+    return rows.filter(_stop(refused) & (F.col("_once") >= 0)).drop("_once")
+
+
+def _stop(refused: Column) -> Column:
+    """A filter, which no choice of columns takes out: it raises at the first refused record and lets all others pass."""
+    return F.when(refused, F.raise_error(F.concat(F.lit("bad JSON record: "), F.col("error.message"))).cast("boolean")).otherwise(F.lit(True))
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: "T.DataType | Record | str", mode: str = "fail", options: DecodeOptions = DecodeOptions(), skip: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -62,6 +69,12 @@ def split_values(texts: DataFrame, column: str = "value") -> DataFrame:
     return texts.select(*others, F.explode(split(F.col(column))).alias("_v")).select(*others, "_v.position", "_v.value", "_v.error")
 
 
+def unread(c: "Column | str") -> Column:
+    """What split_values() leaves of a text: the malformed or unfinished value behind which it could not go on."""
+    s = F.col(c) if isinstance(c, str) else c
+    return F.arrow_udf(lambda x: pa.array([None if v is None else rest(v) for v in x.to_pylist()], pa.string()), "string")(s)
+
+
 def read_values(spark: SparkSession, path: str, schema: "T.DataType | Record | str", mode: str = "fail", options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """Files of concatenated values; a file is one task's work, since a value's end is only known by reading up to it."""
     found = split_values(spark.read.text(path, wholetext=True))
@@ -70,7 +83,7 @@ def read_values(spark: SparkSession, path: str, schema: "T.DataType | Record | s
         return good
     bad = found.filter("error is not null").select(F.lit(None).cast(plain(schema)).alias("value"), "error", F.col("value").alias("raw"))
     if mode == "fail":
-        bad = bad.withColumn("error", F.raise_error(F.concat(F.lit("bad JSON record: "), F.col("error.message"))).cast(ERROR_DDL))
+        bad = bad.filter(_stop(F.col("error").isNotNull()))
     return good.unionByName(bad)
 
 
