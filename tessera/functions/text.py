@@ -15,10 +15,6 @@ from ..options import EncodeOptions
 _MARK = secrets.token_hex(12)
 #: A number that may be beyond a double's range.
 _HUGE = r"[eE]\+?0*[0-9]{3,}|[0-9]{309,}"
-# Control characters whose built-in escapes have letters, which are in upper case.
-_UPPER_CONTROL = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
-
-
 def prepare(spark: SparkSession) -> None:
     """Session settings that built-in parsing needs: duplicate keys are allowed (the last one wins), times are UTC."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
@@ -57,9 +53,9 @@ def json_quote(c: "Column | str", options: EncodeOptions = EncodeOptions()) -> C
         s = F.make_valid_utf8(s)
     text = F.to_json(F.struct(s.alias("v")))
     plain = F.substr(text, F.lit(6), F.length(text) - 6)
-    lower = plain  # an escape begins behind an even number of backslashes
-    for code in _UPPER_CONTROL:
-        lower = F.regexp_replace(lower, r"(?<!\\)((?:\\\\)*+)\\u00" + code, r"$1\\u00" + code.lower())
+    # built-in escapes of control characters have upper-case digits; an escape begins behind an even number of backslashes
+    one = lambda t, c: F.regexp_replace(t, F.concat(F.lit(r"(?<!\\)((?:\\\\)*+)\\u00([01])"), c), F.concat(F.lit(r"$1\\u00$2"), F.lower(c)))
+    lower = F.aggregate(F.array(*map(F.lit, "ABCDEF")), plain, one)
     return escape(F.when(plain.contains("\\u00"), lower).otherwise(plain), options)
 
 
@@ -81,7 +77,10 @@ def float_text(c: "Column | str", single: bool = False, exp_auto: bool = False)
     shortest; the rest go to the codec.
     """
     x = col(c).cast("double")
-    text = F.rtrim(F.rtrim(x.try_cast("decimal(24,4)").cast("string"), F.lit("0")), F.lit("."))
+    part = F.round(F.abs(x) * 10000).try_cast("long") % 10000
+    digits = F.rtrim(F.lpad(part.cast("string"), 4, "0"), F.lit("0"))
+    whole_ = F.abs(x).try_cast("long").cast("string")
+    text = F.concat(F.when(x < 0, "-").otherwise(""), whole_, F.when(part > 0, F.concat(F.lit("."), digits)).otherwise(""))
     near = F.abs(x).between(F.lit(1e-4), F.lit(9.9e10)) & (F.round(x * 10000) / 10000 == x) if not single else F.abs(x).between(F.lit(1.0), F.lit(1e6)) & (x == F.floor(x))
     exact = F.arrow_udf(lambda v: pa.array([None if y is None or y != y or abs(y) == float("inf") else codec.float_text(y, single, exp_auto) for y in v.to_pylist()], pa.string()), "string")
     return F.when(near, text).otherwise(exact(F.when(~near, x)))

@@ -74,11 +74,11 @@ def _text(x: Column, dtype: T.DataType, meta: dict, options: EncodeOptions, dept
     elif isinstance(dtype, T.ArrayType):
         parts = F.transform(x, lambda e: _text(e, dtype.elementType, {}, options, depth + 1))
         out = F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
-        out = F.when(F.exists(parts, lambda p: p.isNull()), F.lit(None)).otherwise(out)
+        out = F.when(F.exists(parts, lambda p: p.isNull()), F.lit(None)).otherwise(out) if _fails(dtype.elementType) else out
     elif isinstance(dtype, T.MapType):
         parts = F.transform(F.map_entries(x), lambda e: F.concat(json_quote(e["key"].cast("string"), options), F.lit(":"), _text(e["value"], dtype.valueType, {}, options, depth + 1)))
         out = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
-        out = F.when(F.exists(parts, lambda p: p.isNull()), F.lit(None)).otherwise(out)
+        out = F.when(F.exists(parts, lambda p: p.isNull()), F.lit(None)).otherwise(out) if _fails(dtype.valueType) else out
     else:
         raise UnsupportedTypeError(f"unsupported type {dtype.simpleString()}")
     return F.when(x.isNull(), F.lit("null")).otherwise(out)
@@ -88,6 +88,10 @@ def _object(x: Column, dtype: T.StructType, options: EncodeOptions, depth: int)
     if options.max_depth is not None and depth >= options.max_depth:
         raise UnsupportedTypeError(f"nested deeper than {options.max_depth}")
     parts, whole = [], F.lit(True)
+    if dtype and not any(f.metadata.get("json.omitempty") for f in dtype):  # a null among the parts makes all of it null
+        for f in dtype:
+            parts += [F.lit(("," if parts else "{") + codec.quote(f.name) + ":"), _text(x[f.name], f.dataType, f.metadata, options, depth + 1)]
+        return F.concat(*parts, F.lit("}"))
     for f in dtype:
         v = x[f.name]
         text = _text(v, f.dataType, f.metadata, options, depth + 1)
