@@ -3,14 +3,16 @@
 A batch of signed changes adds to totals by source, language and tokenizer version: an insert adds a document and its
 tokens, a delete takes them away, a revision adds the difference of its counts. A batch is written under its own id and
 counts once, however often it is committed: an id that is there already is left alone, and an unfinished one is replaced.
+Complete batches can be summed into one table (compact), so that totals don't read every batch ever written.
 
 Defined results: a null text has no tokens; null sources, languages and ids are groups or documents like any other;
 totals that come to no documents and no tokens are left out; an empty batch commits and changes nothing; equal rows
-count each; other columns are ignored.
+count each; other columns are ignored; a change of an unknown kind, or without its counts, fails its batch.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import TOKENIZER_DIR, Encoder
-from .common import tune
+from .common import cut, drop, tune
 
 KEYS = ["source", "lang", "tokenizer"]
 _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -65,38 +67,84 @@ class TokenRollup:
         """changes: op (insert, delete or revise), source, lang, tokenizer, n_tokens and, to revise, old_n_tokens.
 
         False if the batch had been committed before. Deltas are summed where they are read, so a source with a third of
-        all documents sends one row from each task.
+        all documents sends one row from each task. A change of another kind, or without its counts, fails the commit.
+        A batch is written beside its place and then renamed to it: of two writers of one id, the later one's is dropped.
         """
         if self.committed(batch_id):
             return False
+        changes = changes.withColumn("op", F.when(F.expr("op IN ('insert', 'delete') AND n_tokens IS NOT NULL OR op = 'revise' AND n_tokens IS NOT NULL AND old_n_tokens IS NOT NULL"), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("no change: "), F.coalesce("op", F.lit("null")), F.lit(" without a known kind or its counts")))))
         sign = F.expr("CASE op WHEN 'insert' THEN 1L WHEN 'delete' THEN -1L WHEN 'revise' THEN 0L END")
         tokens = F.expr("CASE op WHEN 'insert' THEN n_tokens WHEN 'delete' THEN -n_tokens WHEN 'revise' THEN n_tokens - old_n_tokens END")
         deltas = changes.groupBy(*KEYS).agg(F.coalesce(F.sum(sign), F.lit(0)).cast("long").alias("n_docs"), F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("n_tokens"))
-        deltas.write.mode("overwrite").parquet(self._batch(batch_id))
-        return True
+        beside = f"{self.path}/_writing-{uuid.uuid4().hex}"
+        deltas.write.parquet(beside)
+        return self._place(beside, self._batch(batch_id))
+
+    def _place(self, written: str, target: str) -> bool:
+        """Rename a written folder to its place; False, and the folder goes, if another one is complete there."""
+        if self._fs.exists(self._path(target)) and not self._fs.exists(self._path(f"{target}/_SUCCESS")):
+            self._fs.delete(self._path(target), True)  # an unfinished one
+        if not self._fs.exists(self._path(target)) and self._fs.rename(self._path(written), self._path(target)):
+            inner = self._path(f"{target}/{written.rsplit('/', 1)[1]}")
+            if not self._fs.exists(inner):
+                return True
+            self._fs.delete(inner, True)  # another writer's folder came first, and ours was moved into it
+        self._fs.delete(self._path(written), True)
+        return False
+
+    def _done(self) -> list[str]:
+        """Folders of complete batches that no complete sum holds."""
+        root = self._path(self.path)
+        names = [s.getPath().getName() for s in (self._fs.listStatus(root) if self._fs.exists(root) else [])]
+        names = [n for n in names if self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))]
+        sums = sorted((n for n in names if n.startswith("sum=")), key=lambda n: int(n[4:]))
+        if not sums:
+            return sorted(f"{self.path}/{n}" for n in names if n.startswith("batch="))
+        held = {r[0] for r in self.spark.read.parquet(f"{self.path}/of-{sums[-1]}").collect()}
+        return [f"{self.path}/{sums[-1]}", *sorted(f"{self.path}/{n}" for n in names if n.startswith("batch=") and n not in held)]
+
+    def compact(self) -> None:
+        """Sum all complete batches into one table. Their own tables stay as marks of what was committed, so totals read
+        one table and the batches since."""
+        done = self._done()
+        names = [p.rsplit("/", 1)[1] for p in done]
+        before = [n for n in names if n.startswith("sum=")]
+        held = {n for n in names if n.startswith("batch=")} | {r[0] for n in before for r in self.spark.read.parquet(f"{self.path}/of-{n}").collect()}
+        name = f"sum={int(before[0][4:]) + 1 if before else 1}"
+        self.spark.createDataFrame([(n,) for n in sorted(held)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/of-{name}")
+        beside = f"{self.path}/_writing-{uuid.uuid4().hex}"
+        self._sum().write.parquet(beside)
+        self._place(beside, f"{self.path}/{name}")
+
+    def _sum(self) -> DataFrame:
+        done = self._done()
+        rows = self.spark.read.schema(_SCHEMA).parquet(*done) if done else self.spark.createDataFrame([], _SCHEMA)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def totals(self) -> DataFrame:
-        done = [s.getPath().toString() for s in (self._fs.listStatus(self._path(self.path)) if self._fs.exists(self._path(self.path)) else []) if self._fs.exists(self._path(s.getPath().toString() + "/_SUCCESS"))]
-        rows = self.spark.read.schema(_SCHEMA).parquet(*sorted(done)) if done else self.spark.createDataFrame([], _SCHEMA)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs != 0 or n_tokens != 0")
+        return self._sum().filter("n_docs != 0 or n_tokens != 0")
 
 
 def corpus_history(spark: SparkSession, docs: DataFrame, path: str, folder: str = TOKENIZER_DIR) -> TokenRollup:
     """Four batches over a corpus: every document is inserted; exact copies of an earlier document are deleted; texts
     that aren't English move to the multilingual vocabulary; the counts that stand are revised by an end mark. The
     second batch is sent twice and counts once."""
-    from .common import cut
-
     old, new = "byte_bpe_50k", "byte_bpe_multi_50k"
     counted = cut(count_tokens(docs, {"n": (old, "true"), "m": (new, "coalesce(lang, '') != 'en'")}, folder), "counts")
-    first = counted.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("first"))
-    kept = counted.join(first, "digest").withColumn("copy", F.coalesce("doc_id", F.lit(-1)) != F.col("first"))
+    own = F.coalesce("doc_id", F.lit(-1))
+    # texts that stand once need no look at the others: only those of copies meet, and these are counted before they do
+    first = counted.groupBy("digest").agg(F.min(own).alias("first"), F.max(own).alias("last")).filter("first != last").select("digest", "first")
+    kept = counted.join(first, "digest", "left").withColumn("copy", F.coalesce(own != F.col("first"), F.lit(False))).drop("digest", "first")
+    kept = cut(kept, "kept")
+    drop(counted)
     row = lambda df, op, version, n, was="cast(null as long)": df.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer"), F.expr(n).alias("n_tokens"), F.expr(was).alias("old_n_tokens"))
     alive, moved = kept.filter("not copy"), kept.filter("not copy and m is not null")
     roll = TokenRollup(spark, path)
-    roll.commit("1-load", row(counted, "insert", old, "n"))
+    roll.commit("1-load", row(kept, "insert", old, "n"))
     for _ in range(2):
         roll.commit("2-copies", row(kept.filter("copy"), "delete", old, "n"))
     roll.commit("3-languages", row(moved, "delete", old, "n").union(row(moved, "insert", new, "m")))
     roll.commit("4-end-marks", row(alive.filter("m is null"), "revise", old, "n + 1", "n").union(row(moved, "revise", new, "m + 1", "m")))
+    drop(kept)
+    roll.compact()
     return roll

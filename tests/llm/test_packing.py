@@ -69,6 +69,32 @@ def test_variable_best_fit_uses_the_cheapest_size_and_shrinks():
     assert packing.variable_best_fit([3])[2] == [512]
 
 
+def plain_variable(lengths, sizes, cost):
+    """Best fit over a list of bins, each [capacity, used]."""
+    bins, place, left = [], {}, sum(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        n = lengths[i]
+        fits = [(c - u, b) for b, (c, u) in enumerate(bins) if c - u >= n]
+        if fits:
+            b = min(fits)[1]
+        else:
+            b = len(bins)
+            bins.append([min((s for s in sizes if s >= n), key=lambda s: (cost(s) / min(s, max(n, left)), s)), 0])
+        place[i] = b, bins[b][1]
+        bins[b][1] += n
+        left -= n
+    return [place[i][0] for i in range(len(lengths))], [place[i][1] for i in range(len(lengths))], [min(s for s in sizes if s >= u) for _, u in bins]
+
+
+def test_variable_best_fit_is_the_plain_one():
+    rng = random.Random(4)
+    for k in range(60):
+        sizes = sorted(rng.sample(range(8, 200), 3))
+        lengths = [rng.randrange(1, sizes[-1] + 1) for _ in range(rng.randrange(0, 70))]
+        cost = [packing.bin_cost, lambda s: 1 + s, lambda s: s**0.5][k % 3]
+        assert packing.variable_best_fit(lengths, sizes, cost) == plain_variable(lengths, sizes, cost)
+
+
 def test_pack_places_every_part_once(spark):
     rows = corpus()
     got = packing.pack(frame(spark, rows), sizes=(64, 128, 256), per_group=20).collect()
@@ -129,6 +155,16 @@ def test_rollup_equals_a_recount_and_batches_count_once(spark, tmp_path):
     assert roll.commit("1", one) and not roll.commit("1", one) and roll.commit("2", two) and not roll.commit("2", two)
     assert roll.commit("3", spark.createDataFrame([], changes))
     assert [tuple(r) for r in roll.totals().collect()] == [("a", "en", "v1", 1, 9)]
+    for bad in [("update", "a", "en", "v1", 5, None), (None, "a", "en", "v1", 5, None), ("revise", "a", "en", "v1", 5, None), ("insert", "a", "en", "v1", None, None)]:
+        with pytest.raises(Exception, match="no change"):
+            roll.commit("bad", spark.createDataFrame([bad], changes))
+    for n in range(2):  # the sum and the batches since
+        roll.compact()
+        assert [tuple(r) for r in roll.totals().collect()] == [("a", "en", "v1", 1, 9 + 4 * n)]
+        assert not roll.commit("1", one) and not roll.commit("2", two)
+        assert roll.commit(f"5{n}", spark.createDataFrame([("revise", "a", "en", "v1", 4, 0)], changes))
+        assert [tuple(r) for r in roll.totals().collect()] == [("a", "en", "v1", 1, 13 + 4 * n)]
+    assert roll.commit("60", spark.createDataFrame([("revise", "a", "en", "v1", 9, 17)], changes))
     (tmp_path / "r" / "batch=4").mkdir()  # begun, never finished
     assert not roll.committed("4") and roll.totals().count() == 1
 
