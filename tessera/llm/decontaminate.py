@@ -14,10 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import cut, tune
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.08
@@ -110,39 +111,22 @@ class Matcher:
                 yield item, best
 
 
-_MATCHERS: dict[object, Matcher] = {}
-
-
 def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows (doc_id, item_id, distance, errors_allowed, item_chars): items that a document holds within their budget.
 
-    items is a stated query set: it comes to the driver in blocks of at most block_chars characters, one pass each.
+    items is a stated query set: it comes to the driver in blocks of at most block_chars characters, one block at a time
+    and one pass each; what all but the last one find is written to the shared folder.
     """
     spark = docs.sparkSession
     tune(spark)
     schema = "doc_id long, item_id long, distance int, errors_allowed int, item_chars int"
-    blocks: list[list[tuple[int | None, str]]] = [[]]
-    size = 0
-    for r in items.select("item_id", "text").toLocalIterator():
-        t = normal(r["text"])
-        if not t:
-            continue
-        if size and size + len(t) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], t))
-        size += len(t)
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for block in blocks:
+
+    def search(block: list[tuple[int | None, str]]) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            key = id(sent.value), rate
-            if key not in _MATCHERS:
-                _MATCHERS.clear()
-                _MATCHERS[key] = Matcher(sent.value, rate)
-            found = _MATCHERS[key]
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = Matcher(sent.value, rate)
             for batch in batches:
                 rows = []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -153,9 +137,23 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_c
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:])], ["doc_id", "item_id", "distance", "errors_allowed", "item_chars"])
 
-        part = texts.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return out
+        return texts.mapInArrow(run, schema), sent
+
+    out, block, size = None, [], 0
+    for r in items.select("item_id", "text").toLocalIterator():
+        t = normal(r["text"])
+        if not t:
+            continue
+        if size and size + len(t) > block_chars:  # this block's pass is done, and its items leave every worker, before the next
+            found, sent = search(block)
+            found = cut(found, "matches")
+            sent.destroy()
+            out = found if out is None else out.union(found)
+            block, size = [], 0
+        block.append((r["item_id"], t))
+        size += len(t)
+    last, _ = search(block)
+    return last if out is None else out.union(last)
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
