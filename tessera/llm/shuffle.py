@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import tune
 
 LAW = "rows"
+#: Buckets whose counts are summed apart.
+RUN = 4096
 
 
 def size_of(text: str = "text") -> Column:
@@ -34,19 +36,16 @@ def shuffle(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int
     buckets = max(1, -(-int(total) // bucket_bytes))
     h = F.xxhash64(F.lit(seed), "doc_id", "text")
     rows = docs.withColumn("_shuffle_h", h).withColumn("_shuffle_b", F.pmod(F.col("_shuffle_h"), F.lit(buckets)))
-    # one count for each bucket: bounded by the data's size over the bucket's
-    counts = {r[0]: r[1] for r in docs.select(F.pmod(h, F.lit(buckets)).alias("b")).groupBy("b").count().collect()}
-    starts = np.zeros(buckets + 1, np.int64)
-    np.cumsum([counts.get(b, 0) for b in range(buckets)], out=starts[1:])
+    starts = _starts(docs.select(F.pmod(h, F.lit(buckets)).alias("_shuffle_b")))
+    rows = rows.join(starts, "_shuffle_b")
     names = docs.columns
-    at = docs.sparkSession.sparkContext.broadcast(starts)
 
     def run(table: pa.Table) -> pa.Table:
         b = table["_shuffle_b"][0].as_py()
         table = table.sort_by([("_shuffle_h", "ascending")])
         n = table.num_rows
         order = np.random.Generator(np.random.PCG64([seed, b])).permutation(n)  # numpy's Fisher-Yates
-        where = int(at.value[b]) + np.arange(n)
+        where = table["_shuffle_at"][0].as_py() + np.arange(n)
         out = table.select(names).take(pa.array(order))
         return out.append_column("shard", pa.array((where % shards).astype(np.int32))).append_column("slot", pa.array(where // shards))
 
@@ -54,6 +53,20 @@ def shuffle(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int
     return rows.groupBy("_shuffle_b").applyInArrow(run, schema)
 
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """Rows before each bucket. Buckets are summed in runs of RUN, and only the runs' sums meet in one place: at 16 MB a
+    bucket a run holds 64 GB, so 100 TB have some 1,600 of them."""
+    counts = rows.groupBy("_shuffle_b").agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("_shuffle_b") / RUN))
+    inside = counts.select("_shuffle_b", "run", (F.sum("n").over(Window.partitionBy("run").orderBy("_shuffle_b")) - F.col("n")).alias("inside"))
+    sums = sorted((r[0], r[1]) for r in counts.groupBy("run").agg(F.sum("n")).collect())
+    before, total = [], 0
+    for run, n in sums:
+        before.append((run, total))
+        total += n
+    runs = rows.sparkSession.createDataFrame(before, "run long, before long")
+    return inside.join(F.broadcast(runs), "run").select("_shuffle_b", (F.col("inside") + F.col("before")).alias("_shuffle_at"))
+
+
 def write_shards(shuffled: DataFrame, path: str) -> None:
     """Write each shard to a folder of its own, its files in slot order."""
     shuffled.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
