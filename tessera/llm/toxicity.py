@@ -3,7 +3,8 @@
 Both dictionaries end in the same base, the common words of ordinary text, and begin with what their own class repeats
 and the other doesn't: runs of 6-byte grams whose rate over distinct word contexts is at least `ODDS` times the other
 class's, best first. A window of eight words is compressed under both; where toxic phrases occur the toxic dictionary
-gives the shorter result. A document's windows are summed up in four figures, and a logistic curve, fitted on labelled
+gives the shorter result. Both dictionaries and every window end in the same mark, so that a window always has a match
+and a short one more is not lost to a stored block. A document's windows are summed up in four figures, and a logistic curve, fitted on labelled
 documents that the dictionaries had not seen, turns them into a score.
 
 Training sample: at most `train_rows` labelled documents of each class (those of least hash) whose texts have at most
@@ -11,7 +12,7 @@ Training sample: at most `train_rows` labelled documents of each class (those of
 
 Defined results: a null or empty text has no windows and gets the score of none; without labels of either class every
 score is the share of toxic labels (0 without any); a null doc_id is scored and never trained on; a repeated label's
-larger value holds; other columns are ignored.
+larger value holds; equal rows get equal scores; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LEAST_CONTEXTS = 4
 PART_BYTES = 4096
 BASE_WORDS = 1500
 THRESHOLD = 0.7
+#: The mark: bytes that no text has.
+MARK = bytes(range(1, 9)) + bytes(range(14, 30))
 _LETTERS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -99,7 +102,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     common = sorted(((n, w) for w, n in ow.items() if len(w) > 3), reverse=True)[:BASE_WORDS]
     base = b" " + b" ".join(w for _, w in reversed(common)) + b" "
     size = max(len(a), len(b))
-    return bytes(size - len(a)) + a + base, bytes(size - len(b)) + b + base
+    return bytes(size - len(a)) + a + base + MARK, bytes(size - len(b)) + b + base + MARK
 
 
 class Distance:
@@ -118,14 +121,14 @@ class Distance:
         own, (ordinary, toxic) = words(text), self.by
         most = total = saving = 0
         for i in range(0, len(own), WINDOW_WORDS):
-            x = b" " + b" ".join(own[i : i + WINDOW_WORDS]) + b" "
+            x = b" " + b" ".join(own[i : i + WINDOW_WORDS]) + b" " + MARK
             d = len(ordinary(x)) - len(toxic(x))
-            if d >= 2:
+            if d > 0:
                 total += d
                 saving += 1
                 most = max(most, d)
         n = -(-len(own) // WINDOW_WORDS)
-        return min(most, 8), float(np.log1p(total)), float(np.log1p(saving)), float(np.log1p(n))
+        return most, float(np.log1p(total)), float(np.log1p(saving)), float(np.log1p(n))
 
 
 def fit(figures: np.ndarray, label: np.ndarray, penalty: float = 1.0) -> np.ndarray:

@@ -198,6 +198,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert len({r.score for r in got if r.doc_id in (900, 901)}) == 1
 
 
+def test_figures_are_the_plain_ones():
+    import math
+
+    import zstandard
+
+    rng = random.Random(19)
+    toxic = [prose(rng, 30) + f" vermin{rng.choice(['', 's'])} wretched " + prose(rng, 20) for _ in range(30)]
+    content = toxicity.dictionaries(toxic, [prose(rng, 60) for _ in range(60)])
+    how = zstandard.ZstdCompressionParameters(window_log=14, hash_log=13, chain_log=13, search_log=5, min_match=6, target_length=8, strategy=zstandard.STRATEGY_LAZY, write_content_size=False)
+    size = lambda x, d: len(zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(x))
+    for text in [None, "", "...", "Vermin!", toxic[0], prose(rng, 100), " ".join(toxic)]:
+        w = toxicity.words(text)
+        x = [b" " + b" ".join(w[i : i + 8]) + b" " + toxicity.MARK for i in range(0, len(w), 8)]
+        saved = [n for n in (size(y, content[1]) - size(y, content[0]) for y in x) if n > 0]
+        want = max(saved, default=0), math.log1p(sum(saved)), math.log1p(len(saved)), math.log1p(len(x))
+        assert toxicity.Distance(*content).figures(text) == pytest.approx(want)
+    assert toxicity.Distance(*content).figures("a wretched vermin")[0] > 0
+
+
 def test_toxicity_without_labels_or_documents(spark):
     assert {r.score for r in toxicity.score(frame(spark), labels(spark, [])).collect()} == {0.0}
     assert toxicity.score(frame(spark, []), labels(spark, [(1, 1, 1)])).collect() == []
