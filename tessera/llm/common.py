@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,9 +30,12 @@ def tune(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a local one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local one, but only for a local
+    master: on a cluster other machines would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = getattr(spark, "_tessera_dir", None)
         if not found:
             found = spark._tessera_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
