@@ -225,6 +225,12 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """docs with one of the rows that are equal in doc_id (null or not) and text. Texts move only if there are such rows."""
+    keys = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("row"), F.col("text").isNull().alias("none"))
+    return docs.dropDuplicates(["doc_id", "text"]) if keys.groupBy("id", "row", "none").count().filter("count > 1").head(1) else docs
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, halves: int = 10) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 

@@ -11,7 +11,7 @@ from collections import Counter
 import corpus_pipeline
 from tessera.llm import decontaminate, packing, quality, queries, suffix
 
-from .helpers import SCHEMA, corpus, edited, prose
+from .helpers import SCHEMA, corpus, edited, frame, prose
 from .test_dedup import near_truth
 from .test_filters import least_distance
 
@@ -52,7 +52,9 @@ def test_stages_equal_brute_force(spark, tables):
     assert text(state[0]) == Counter((r[0], r[1]) for r in named if r[0] in good)
     assert not good & set(range(320, 326)) and {0, 1, 300} <= good
     truth = near_truth(state[0], 5)
-    assert text(state[1]) == Counter((r[0], r[1]) for r in state[0] if r[0] is not None and truth[r[0]] == r[0])
+    # rows that are equal in id and text are one
+    assert text(state[1]) == Counter({(r[0], r[1]) for r in state[0] if r[0] is not None and truth[r[0]] == r[0]})
+    assert any(n > 1 for n in text(state[0]).values())
     seen = Counter(b[i : i + 200] for _, t, *_ in state[1] for b in [(t or "").encode()] for i in range(len(b) - 199))
     want = Counter()
     for d, t, *_ in state[1]:
@@ -78,11 +80,23 @@ def test_stages_equal_brute_force(spark, tables):
     assert tokens == want
 
 
-#: The two slow ones are covered with their operators.
-QUICK = sorted(set(queries.QUERIES) - {"op4_minhash_near_dedup", "op9_suffix_dedup"})
+def test_equal_rows_keep_one_text_and_empty_tables_give_none(spark, tmp_path):
+    rng = random.Random(13)
+    text = prose(rng, 120)
+    for name, rows in (("two", [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (None, text[::-1], "en", "a", 1), (None, text[::-1], "en", "a", 1)]), ("none", [])):
+        path = str(tmp_path / name)
+        frame(spark, rows).coalesce(1).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.cut(f(spark, docs, path), "test")
+            assert docs.columns == corpus_pipeline.COLUMNS, stage
+        assert sorted((str(r.doc_id), r.text) for r in docs.collect()) == ([("1", text), ("None", text[::-1])] if rows else [])
+        assert len(corpus_pipeline.run(spark, path).collect()) == (2 if rows else 0)
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_query_runs(spark, tables, name):
     path, rows, _ = tables
     got = queries.QUERIES[name](spark, path).collect()
