@@ -19,21 +19,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the likelihood ratio go."""
+    """Documents that fail the base rules or the likelihood ratio go.
+
+    A null, empty or short text has too few words and goes; equal rows get equal verdicts; a row without id is judged by
+    its text; an empty table gives none; columns beside those of documents are left out.
+    """
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, 0.8) the document with the least id stays.
 
-    Rows that share an id count as one document and stay or go together; rows without id stay.
+    Rows that share an id count as one document and stay or go together; rows without id stay. Of rows that are equal in
+    id and text (or both without id) one stays, since the next stage would empty them all. Texts without words are no
+    near-duplicates of each other; an empty table gives none; columns beside those of documents are left out.
     """
+    docs = minhash.distinct_rows(docs.select(*COLUMNS))
     gone = minhash.near_duplicates(docs, k=5, percent=80).filter("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes or more that also start elsewhere are cut out, at whole characters; every document stays."""
+    """Passages of 200 bytes or more that also start elsewhere are cut out, at whole characters; every document stays.
+
+    A null text stays null; a text under 200 bytes stays whole; n_chars is counted anew; an empty table gives none;
+    columns beside those of documents are left out.
+    """
     cleaned = suffix.remove_repeats(docs.select(*COLUMNS), length=200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,12 +59,20 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, within its error budget, go."""
+    """Documents that hold a benchmark item, within its error budget, go.
+
+    Rows that share an id go together; a row without id stays, as do null and empty texts; null and empty items are in
+    no document; an empty table gives none; columns beside those of documents are left out.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each part of a document: its bin, its place there and the bin's length."""
+    """One row for each part of a document: its bin, its place there and the bin's length.
+
+    A null or empty text has only its end mark; equal rows are packed each for itself; ties are broken by doc_id, then the
+    text's hash; an empty table gives no rows; other columns are ignored.
+    """
     return packing.pack(docs)
 
 
