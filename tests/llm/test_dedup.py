@@ -140,6 +140,32 @@ def test_repeats_across_chunks_groups_and_batches(spark, monkeypatch):
     check_repeats(spark, corpus(3)[:50], length=40, batches=1)
 
 
+def test_bytes_decide_where_hashes_agree(monkeypatch):
+    """Windows that share a hash but not their bytes are told apart."""
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(5, 40))) for _ in range(30)]
+    texts += texts[:4]
+    arrays = [np.zeros(len(texts), np.int64), np.zeros(len(texts), bool), np.arange(len(texts)), np.zeros(len(texts), np.int32)]
+    seen = Counter(t[i : i + 5] for t in texts for i in range(len(t) - 4))
+
+    def covered(out):
+        return {(r, x) for b in out for r, a, z in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()) for x in range(a, z)}
+
+    want = {(n, x) for n, t in enumerate(texts) for i in range(len(t) - 4) if seen[t[i : i + 5]] > 1 for x in range(i, i + 5)}
+    assert covered(suffix._marks(*arrays, pa.array(texts), 5)) == want
+    monkeypatch.setattr(suffix, "_hash", lambda c, down, i, length: (common.mix((c[i + length] - c[i]) * down[i]) & np.uint64(7)))
+    assert covered(suffix._marks(*arrays, pa.array(texts), 5)) == want
+
+
+def test_one_repetitive_text_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP_ROWS", 8)
+    rng = random.Random(18)
+    part = prose(rng, 60)
+    check_repeats(spark, [(1, " ".join([part] * 60), "en", "a", 1), (2, prose(rng, 300), "en", "a", 1), (3, "ab" * 5000, "en", "a", 1)])
+
+
 def test_repeats_of_nothing(spark):
     assert suffix.remove_repeats(frame(spark, [])).collect() == []
 
