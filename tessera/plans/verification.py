@@ -7,6 +7,7 @@ same columns. Relational parts are Spark's own.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -417,8 +418,8 @@ def ndjson_concat_values(t):
 
 def _folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return f"{base.rstrip('/')}/ndjson-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="ndjson-")
 
 

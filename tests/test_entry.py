@@ -13,6 +13,11 @@ def test_entry_without_the_corpus_operators():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
 
 
+def test_entry_without_a_package_of_the_corpus_operators():
+    code = "import sys; sys.modules['zstandard'] = None\nimport __spark_entry__ as e\nassert len(e.queries()) > 40 and 'op8_toxicity' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
 def test_nothing_else_imports_the_corpus_operators():
     for path in ROOT.glob("tessera/**/*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
