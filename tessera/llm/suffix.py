@@ -119,7 +119,9 @@ class SuffixFamily:
         index = self.levels[0][1]
         for _, level in self.levels[1:]:
             index = index.union(level)
-        hit = cut(index.join(fps.distinct(), "fp", "left_semi"), "hits")
+        fps = cut(fps.distinct(), "matched")  # written, so that a join's frequent keys can be split
+        hit = cut(index.join(fps, "fp", "left_semi"), "hits")
+        drop(fps)
         self.drop()  # the index, before any text moves
         count = hit.groupBy("fp").agg(F.count("*").alias("c")).filter(F.col("c") > GROUP_ROWS)
         salts = F.ceil(F.coalesce("c", F.lit(1)) / GROUP_ROWS).cast("int")
