@@ -51,6 +51,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: the lineage ends here, and no executor's loss reaches behind it."""
     spark = df.sparkSession
     path = table_path(spark, name)
+    made(spark).append(path)
     df.write.parquet(path)
     sweep(spark)
     out = spark.read.schema(df.schema).parquet(path)
@@ -64,14 +65,29 @@ def sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def made(spark: SparkSession) -> list[str]:
+    """The paths of this session's cut() tables that are still there."""
+    found = getattr(spark, "_tessera_tables", None)
+    if found is None:
+        found = spark._tessera_tables = []
+    return found
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by cut() that no later plan reads."""
     for df in tables:
-        path = getattr(df, "_tessera_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "_tessera_path", None):
+            clear(df.sparkSession, [path])
+
+
+def clear(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete these cut() tables, or all of this session's. An operator's result may still read the last ones that it
+    made, so this is for after the result was written."""
+    for path in list(made(spark)) if paths is None else paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in made(spark):
+            made(spark).remove(path)
 
 
 # --------------------------------------------------------------------------- bytes of a text column

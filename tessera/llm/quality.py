@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 BUCKETS = 10_000
 BLANKS = " \t\n\x0b\x0c\r"
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -130,15 +132,9 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that stay, with assess()'s columns.
-
-    As a filter, Spark would push the verdict down to the scan and write it out there, every list computed anew for each
-    of its elements. So each document is repeated once or not at all instead; the term that Spark takes for random keeps
-    it from deriving a filter from that.
-    """
-    d = assess(docs, labels).withColumn("_q_times", F.when(F.col("kept"), 1).otherwise(0))
-    times = F.col("_q_times") + F.floor(F.rand(0)).cast("int")
-    return d.withColumn("_q_one", F.explode(F.array_repeat(F.lit(1), times))).drop("_q_times", "_q_one")
+    """The documents that stay, with assess()'s columns. The verdicts are written first: as a filter on what is yet to be
+    computed, Spark would push them down to the scan and compute every list anew for each of its elements."""
+    return cut(assess(docs, labels), "verdicts").filter("kept")
 
 
 #: The query in DuckDB's SQL.

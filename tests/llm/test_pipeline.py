@@ -9,7 +9,7 @@ import pytest
 from collections import Counter
 
 import corpus_pipeline
-from tessera.llm import decontaminate, packing, quality, queries, suffix
+from tessera.llm import common, decontaminate, packing, quality, queries, suffix
 
 from .helpers import SCHEMA, corpus, edited, frame, prose
 from .test_dedup import near_truth
@@ -93,7 +93,11 @@ def test_equal_rows_keep_one_text_and_empty_tables_give_none(spark, tmp_path):
             docs = corpus_pipeline.cut(f(spark, docs, path), "test")
             assert docs.columns == corpus_pipeline.COLUMNS, stage
         assert sorted((str(r.doc_id), r.text) for r in docs.collect()) == ([("1", text), ("None", text[::-1])] if rows else [])
+        before = set(common.made(spark))
         assert len(corpus_pipeline.run(spark, path).collect()) == (2 if rows else 0)
+        assert len(set(common.made(spark)) - before) == 1  # the rows that the last stage reads
+        common.clear(spark)
+        assert not common.made(spark)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
