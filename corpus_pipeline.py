@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, minhash, packing, quality, suffix
-from tessera.llm.common import cut
+from tessera.llm.common import clear, cut, drop, made
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -89,8 +89,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents; each one's rows are written to the shared folder and read again."""
+    """All stages in order over documents; each one's rows are written to the shared folder and read again, and what it
+    made on the way, with its predecessor's rows, is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before, old = set(made(spark)), docs
         docs = cut(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        clear(spark, [p for p in made(spark) if p not in before and p != docs._tessera_path])
+        drop(old)
     return STAGES[-1][1](spark, docs, sf_dir)
