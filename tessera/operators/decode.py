@@ -16,12 +16,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import ERROR_DDL, InvalidTargetError
-from ..functions.text import col, whole, wrapped
+from ..functions.text import col, time_value, whole, wrapped
 from ..options import DecodeOptions
 from ..schema import Record, check, plain
 from . import codec
 
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
+#: Microseconds of the years 1 to 9999.
+_YEARS = (-62135596800000000, 253402300799999999)
+_BASE64 = r"^(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _INTEGERS = {T.ByteType: (-(1 << 7), (1 << 7) - 1), T.ShortType: (-(1 << 15), (1 << 15) - 1), T.IntegerType: (-(1 << 31), (1 << 31) - 1), T.LongType: None}
 
@@ -33,21 +36,30 @@ def _native_type(dtype: T.DataType, meta: dict) -> bool:
         return all(_NAME.fullmatch(f.name) and _native_type(f.dataType, {k: v for k, v in f.metadata.items() if k != "json.omitempty"}) for f in dtype)
     if isinstance(dtype, T.ArrayType):
         return _native_type(dtype.elementType, {})
-    return isinstance(dtype, (T.BooleanType, T.DoubleType, T.StringType, *_INTEGERS))
+    if isinstance(dtype, T.MapType):
+        return isinstance(dtype.keyType, T.StringType) and _native_type(dtype.valueType, {})
+    return isinstance(dtype, (T.BooleanType, T.DoubleType, T.FloatType, T.StringType, T.TimestampType, T.BinaryType, *_INTEGERS))
 
 
 def native_schema(dtype: T.DataType) -> bool:
     """Whether built-in parsing may be used for documents of this schema at all."""
-    return isinstance(dtype, T.StructType) and len(dtype) > 0 and _native_type(dtype, {}) and len({f.name.lower() for f in dtype}) == len(dtype)
+    if isinstance(dtype, T.StructType):
+        return len(dtype) > 0 and _native_type(dtype, {}) and len({f.name.lower() for f in dtype}) == len(dtype)
+    return isinstance(dtype, (T.MapType, T.ArrayType)) and _native_type(dtype, {})
 
 
 def _wide(dtype: T.DataType) -> T.DataType:
-    """The schema with every integer as a long, so that no narrow type wraps around."""
+    """The schema with every integer as a long and every float as a double, so that no narrow type wraps around, and with
+    times and bytes as text."""
     if isinstance(dtype, T.StructType):
         return T.StructType([T.StructField(f.name, _wide(f.dataType)) for f in dtype])
     if isinstance(dtype, T.ArrayType):
         return T.ArrayType(_wide(dtype.elementType))
-    return T.LongType() if type(dtype) in _INTEGERS else dtype
+    if isinstance(dtype, T.MapType):
+        return T.MapType(dtype.keyType, _wide(dtype.valueType))
+    if isinstance(dtype, (T.TimestampType, T.BinaryType)):
+        return T.StringType()
+    return T.LongType() if type(dtype) in _INTEGERS else T.DoubleType() if isinstance(dtype, T.FloatType) else dtype
 
 
 def _pattern(dtype: T.DataType) -> str:
@@ -60,9 +72,11 @@ def _pattern(dtype: T.DataType) -> str:
         return f"(?:VOID|ARRAY<{_pattern(dtype.elementType)}>)"
     if isinstance(dtype, T.BooleanType):
         return "(?:VOID|BOOLEAN)"
-    if isinstance(dtype, T.StringType):
+    if isinstance(dtype, T.MapType):
+        return rf"(?:VOID|OBJECT<(?:(?:\w++|`(?:[^`]|``)*+`): {_pattern(dtype.valueType)}(?:, |(?=>)))*+>)"
+    if isinstance(dtype, (T.StringType, T.TimestampType, T.BinaryType)):
         return "(?:VOID|STRING)"
-    if isinstance(dtype, T.DoubleType):
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return r"(?:VOID|BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))"
     return "(?:VOID|BIGINT)"
 
@@ -76,7 +90,8 @@ def _skips(dtype: T.StructType, fold: bool) -> tuple[str, str | None]:
 
 
 def _fits(x: Column, dtype: T.DataType) -> Column:
-    """Whether the integers of a widened value lie in their own type's range, and no double is infinite."""
+    """Whether the numbers of a widened value lie in their own type's range, its times and bytes are well-formed, and no
+    map has a key twice."""
     if isinstance(dtype, T.StructType):
         out = F.lit(True)
         for f in dtype:
@@ -85,8 +100,16 @@ def _fits(x: Column, dtype: T.DataType) -> Column:
         return out
     if isinstance(dtype, T.ArrayType):
         return F.coalesce(F.forall(x, lambda e: _fits(e, dtype.elementType)), F.lit(True))
-    if isinstance(dtype, T.DoubleType):
-        return F.coalesce(F.abs(x) != float("inf"), F.lit(True))
+    if isinstance(dtype, T.MapType):
+        once = F.size(F.array_distinct(F.map_keys(x))) == F.size(F.map_keys(x))
+        inner = F.forall(F.map_values(x), lambda e: _fits(e, dtype.valueType)) if _narrow(dtype.valueType) else F.lit(True)
+        return F.coalesce(once & inner, F.lit(True))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.abs(x.cast(dtype)) != float("inf"), F.lit(True))
+    if isinstance(dtype, T.TimestampType):
+        return x.isNull() | F.coalesce(F.unix_micros(time_value(x)).between(*_YEARS), F.lit(False))
+    if isinstance(dtype, T.BinaryType):
+        return x.isNull() | x.rlike(_BASE64)
     lo, hi = _INTEGERS[type(dtype)]
     return F.coalesce(x.between(lo, hi), F.lit(True))
 
@@ -96,7 +119,27 @@ def _narrow(dtype: T.DataType) -> bool:
         return any(_narrow(f.dataType) for f in dtype)
     if isinstance(dtype, T.ArrayType):
         return _narrow(dtype.elementType)
-    return isinstance(dtype, T.DoubleType) or bool(_INTEGERS.get(type(dtype)))
+    return isinstance(dtype, (T.DoubleType, T.FloatType, T.TimestampType, T.BinaryType, T.MapType)) or bool(_INTEGERS.get(type(dtype)))
+
+
+def _finished(x: Column, dtype: T.DataType) -> Column:
+    """A widened value in its own type."""
+    if not _changes(dtype):
+        return x.cast(_plainly(dtype))
+    if isinstance(dtype, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[_finished(x[f.name], f.dataType).alias(f.name) for f in dtype]))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(x, lambda e: _finished(e, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        zero = isinstance(dtype.valueType, (T.IntegerType, T.LongType))  # null values of integer maps are stored as zero
+        return F.transform_values(x, lambda _, e: F.coalesce(e, F.lit(0)).cast(dtype.valueType) if zero else _finished(e, dtype.valueType))
+    return time_value(x) if isinstance(dtype, T.TimestampType) else F.unbase64(x)
+
+
+def _changes(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_changes(f.dataType) for f in dtype)
+    return _changes(dtype.elementType) if isinstance(dtype, T.ArrayType) else isinstance(dtype, (T.TimestampType, T.BinaryType, T.MapType))
 
 
 def _codec(s: Column, dtype: T.DataType, options: DecodeOptions) -> Column:
@@ -169,9 +212,10 @@ def decode(c: "Column | str", schema: "T.DataType | Record | str", options: Deco
     shape = F.schema_of_variant(v)
     fits = shape.rlike(f"^{_pattern(dtype)}$") & (shape != "VOID")
     # or other keys beside the schema's, which are skipped
-    bad, folded = _skips(dtype, options.fold_keys)
-    loose = shape.startswith("OBJECT<") & ~shape.rlike(bad)
-    fits = fits | (loose & ~shape.rlike(folded) if folded else loose)
+    if isinstance(dtype, T.StructType):
+        bad, folded = _skips(dtype, options.fold_keys)
+        loose = shape.startswith("OBJECT<") & ~shape.rlike(bad)
+        fits = fits | (loose & ~shape.rlike(folded) if folded else loose)
     # escapes of lone surrogates are parsed, but not as they should be
     clean = ~s.contains("\\ud") & ~s.contains("\\uD") & whole(w) & fits
     typed = F.from_json(s, _wide(dtype), _STRICT)
@@ -179,7 +223,7 @@ def decode(c: "Column | str", schema: "T.DataType | Record | str", options: Deco
         clean = clean & _fits(typed, dtype)
     # the codec sees only what isn't clean, and its answer alone tells later on which documents those were
     other = _codec(F.when(~F.coalesce(clean, F.lit(False)), s), dtype, options)
-    native = F.struct(typed.cast(_plainly(dtype)).alias("value"), F.lit(None).cast(ERROR_DDL).alias("error"))
+    native = F.struct(_finished(typed, dtype).alias("value"), F.lit(None).cast(ERROR_DDL).alias("error"))
     return F.when(s.isNull(), none.cast(out_type)).otherwise(F.coalesce(other.cast(out_type), native.cast(out_type)))
 
 

@@ -110,6 +110,26 @@ def test_keys_fold_to_letters_of_as_many_bytes(spark, native):
     assert [r.d.value.k for r in rows] == [None, None, 3, None, 6, 1]
 
 
+TYPED = [
+    '{"f":1.5,"t":"2020-02-29T12:00:00.1234567Z","b":"QUI=","m":{"a":1,"b":null,"k z":3},"n":{"x":{"y":["1999-12-31T23:59:59+02:00",null]}},"l":["QQ==",""]}',
+    '{"f":1e39}', '{"f":1e38,"t":"2020-02-30T00:00:00Z"}', '{"t":"0000-01-01T00:00:00Z","f":2}', '{"t":"9999-12-31T23:59:59-01:00"}', '{"t":"2020-01-01"}', '{"t":7}', '{"t":"2020-01-01T00:00:00,5Z"}', '{"t":"2020-01-01T24:00:00Z"}', '{"t":"2020-01-01T00:00:00+19:00"}',
+    '{"b":"Q"}', '{"b":"QQ=\\n="}', '{"b":"Q Q="}', '{"b":"QR=="}', '{"b":null,"t":null,"f":null,"m":null}', '{"m":{"a":1,"a":2}}', '{"m":{"a":1.5}}', '{"m":{"a":99999999999999999999}}', '{"m":{}}', '{"m":{"`":1,", a: ":2,"é":3}}', '{"m":[1]}', '{"n":{"x":{"y":"z"},"w":null}}',
+    '{"n":{"x":null,"w":{"y":[],"z":1}}}', '{"l":["?"]}', '{"F":1}', '{"unknown":{"t":1},"f":0.1}', '{"f":16777217,"t":"2020-06-01T00:00:00.000001-05:30"}', "{}", "[]", '{"m":{"a":1}} x', None,
+]
+
+
+@pytest.mark.parametrize("ddl", ["f float, t timestamp, b binary, m map<string,bigint>, n map<string,struct<y: array<timestamp>>>, l array<binary>", "map<string,map<string,int>>", "map<string,float>", "array<map<string,binary>>"])
+def test_times_bytes_floats_and_maps_agree_with_the_codec(spark, ddl):
+    texts = TYPED + ['{"a":{"b":1,"c":null}}', '{"a":{"b":3000000000}}', '{"a":1.25,"b":null,"c":1e39}', '[{"a":"QQ=="},null,{"b":"?"}]', "[]", "null"]
+    d = lines(spark, texts)
+    both = d.select("i", decode("value", ddl).alias("n"), decode("value", ddl, DecodeOptions(native=False)).alias("c")).orderBy("i").collect()
+    for r in both:
+        assert r.n == r.c, texts[r.i]
+    from tessera.operators.decode import native_schema
+
+    assert native_schema(plain(ddl))
+
+
 def test_wide_schemas_and_huge_numbers(spark):
     ddl = ", ".join(f"f{i} double" for i in range(40))
     d = lines(spark, [json.dumps({f"f{i}": i / 4 for i in range(40)} | {"zz": {"f1": "s"}}), '{"f3":1e400,"f4":2}', '{"f3":' + "9" * 400 + "}", '{"f3":-0.0,"extra":"\\ud800"}'])
