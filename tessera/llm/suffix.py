@@ -123,10 +123,10 @@ class SuffixFamily:
         hit = cut(index.join(fps, "fp", "left_semi"), "hits")
         drop(fps)
         self.drop()  # the index, before any text moves
-        count = hit.groupBy("fp").agg(F.count("*").alias("c")).filter(F.col("c") > GROUP_ROWS)
+        count = cut(hit.groupBy("fp").agg(F.count("*").alias("c")).filter(F.col("c") > GROUP_ROWS), "frequent")
         salts = F.ceil(F.coalesce("c", F.lit(1)) / GROUP_ROWS).cast("int")
         lists = cut(_by_row(hit.join(count, "fp", "left").select("fp", "rid", "j0", "n", salts.alias("salts"))), "starts")
-        drop(hit)
+        drop(hit, count)
         return lists
 
     def drop(self) -> None:
