@@ -59,15 +59,8 @@ class Encoder:
         """The ids of each text; a null text has none."""
         parts = [t.split(" ") if t else [] for t in texts]
         cache = self.cache
-        miss = {w for p in parts for w in p[1:] if w not in cache}
-        if miss:
-            fresh = self._learn(miss)
-            if len(cache) + len(fresh) <= _CACHED:
-                cache.update(fresh)
-            else:
-                room = max(0, _CACHED - len(cache))
-                cache = cache | fresh if len(fresh) > len(cache) else _Both(cache, fresh)
-                self.cache.update(list(fresh.items())[:room])
+        fresh = self._learn({w for p in parts for w in p[1:] if w not in cache})
+        cache.update(fresh)
         out = []
         for t, p in zip(texts, parts):
             if not p:
@@ -79,15 +72,8 @@ class Encoder:
                 out.append((self.whole(p[0]) if p[0] else b"") + b"".join(map(cache.__getitem__, p[1:])))
             except TypeError:  # a piece whose ids depend on its neighbours
                 out.append(self.whole(t))
+        over = len(cache) - _CACHED
+        if over > 0:  # the pieces that have no room go with their batch
+            for w in list(fresh)[-over:]:
+                del cache[w]
         return out
-
-
-class _Both(dict):
-    """The long-lived cache, then this batch's other pieces."""
-
-    def __init__(self, first: dict, then: dict):
-        super().__init__(then)
-        self.first = first
-
-    def __missing__(self, key: str) -> bytes | None:
-        return self.first[key]
