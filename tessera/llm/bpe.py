@@ -41,15 +41,20 @@ class Encoder:
         return _LOADED[path]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), self.dtype).tobytes()
+        return self._ids(text).astype(self.dtype).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
 
     def _learn(self, words: set[str]) -> dict[str, bytes | None]:
-        safe = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        safe = [w for w in words if w and w.strip() == w]
         found: dict[str, bytes | None] = dict.fromkeys(words)
         if safe:
-            ids = np.array(self.encoding.encode_ordinary(" " + " ".join(safe)), self.dtype)
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([1 + len(w.encode()) for w in safe])) + 1
-            raw, p, size = ids.tobytes(), 0, self.dtype.itemsize
+            text = " " + " ".join(safe)
+            ids, data = self._ids(text), np.frombuffer(text.encode(), np.uint8)
+            stops = np.append(np.flatnonzero(data == 32)[1:], len(data))  # pieces have no space inside
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), stops) + 1
+            raw, p, size = ids.astype(self.dtype).tobytes(), 0, self.dtype.itemsize
             for w, e in zip(safe, (ends * size).tolist()):
                 found[w] = raw[p:e]
                 p = e
@@ -59,7 +64,7 @@ class Encoder:
         """The ids of each text; a null text has none."""
         parts = [t.split(" ") if t else [] for t in texts]
         cache = self.cache
-        fresh = self._learn({w for p in parts for w in p[1:] if w not in cache})
+        fresh = self._learn(set().union(*parts).difference(cache))
         cache.update(fresh)
         out = []
         for t, p in zip(texts, parts):
