@@ -129,15 +129,35 @@ def _groups(docs: DataFrame, per_group: int) -> int:
     return max(1, -(-docs.count() // per_group))
 
 
-def pack(docs: DataFrame, length: Column | None = None, sizes: Sequence[int] = SIZES, cost: Callable[[int], float] = bin_cost, per_group: int = 20_000, seed: int = 1) -> DataFrame:
+def _token_lengths(rows: DataFrame, tokenizer: str, folder: str) -> DataFrame:
+    """(doc_id, n, h) of rows (doc_id, text, h): n is the text's token ids and the end mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Encoder.of(tokenizer, folder)
+        for batch in batches:
+            n = [len(x) // coder.dtype.itemsize + 1 for x in coder.batch(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)], ["doc_id", "n", "h"])
+
+    return rows.mapInArrow(run, "doc_id long, n long, h long")
+
+
+def pack(docs: DataFrame, length: Column | None = None, sizes: Sequence[int] = SIZES, cost: Callable[[int], float] = bin_cost, per_group: int = 20_000, seed: int = 1, tokenizer: str | None = None, folder: str = TOKENIZER_DIR) -> DataFrame:
     """One row for each part of a document: doc_id, part, n_tokens, bin_id, bin_offset, capacity.
 
-    length: a document's tokens; by default its words and an end mark.
+    tokenizer: the vocabulary that counts a document's tokens; an end mark is added. Without one, length: a document's
+    tokens; by default its words and an end mark. Only lengths are shuffled, no texts.
     """
+    if tokenizer is not None and length is not None:
+        raise ValueError("length and tokenizer exclude each other")
     groups, most = _groups(docs, per_group), max(sizes)
-    length = length if length is not None else n_words() + 1
     h = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = docs.select(F.col("doc_id").cast("long"), length.cast("long").alias("n"), h.alias("h")).withColumn("g", F.pmod("h", F.lit(groups)))
+    if tokenizer is not None:
+        tune(docs.sparkSession)
+        rows = _token_lengths(docs.select(F.col("doc_id").cast("long"), "text", h.alias("h")), tokenizer, folder)
+    else:
+        length = length if length is not None else n_words() + 1
+        rows = docs.select(F.col("doc_id").cast("long"), length.cast("long").alias("n"), h.alias("h"))
+    rows = rows.withColumn("g", F.pmod("h", F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:  # Arrow: pandas would round the ids beside a null
         table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("h", "ascending"), ("n", "ascending")])

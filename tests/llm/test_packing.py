@@ -115,6 +115,24 @@ def test_pack_keeps_large_ids_beside_null_ids(spark):
     assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter({((1 << 60) + 1, 3): 1, (None, 2): 1, ((1 << 60) + 2, 2): 1})
 
 
+def test_pack_by_token_ids(spark):
+    rows = corpus()
+    e = Encoder.of("byte_bpe_50k").encoding
+    want = Counter()
+    for i, t, *_ in rows:
+        for p, n in enumerate(packing.split_length(len(e.encode_ordinary(t or "")) + 1, 256)):
+            want[i, p, n] += 1
+    got = packing.pack(frame(spark, rows), sizes=(64, 128, 256), per_group=20, tokenizer="byte_bpe_50k").collect()
+    assert Counter((r.doc_id, r.part, r.n_tokens) for r in got) == want
+    used = Counter()
+    for r in got:
+        used[r.bin_id] += r.n_tokens
+    assert all(used[r.bin_id] <= r.capacity for r in got)
+    assert packing.pack(frame(spark, []), tokenizer="byte_bpe_50k").collect() == []
+    with pytest.raises(ValueError, match="exclude"):
+        packing.pack(frame(spark, rows), packing.n_words(), tokenizer="byte_bpe_50k")
+
+
 def test_encoder_is_the_vocabulary():
     e = Encoder.of("byte_bpe_50k")
     texts = [t for _, t, *_ in corpus()] + ["a  b", " lead", "trail ", "x\n y", "x \ny", "a\n \nb", "it's  'll", "tab\tx y", "a  b", "   ", "\n", "mixed 12,5 €3!", "<|endoftext|> z"]
