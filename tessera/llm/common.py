@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Bytes hashed at a time; the working arrays take about 40 bytes for each.
 CHUNK = 1 << 18
-#: Nodes of a task's own forest that are held at a time.
+#: Nodes of a task's own forest that are held at a time; fewer edges than that in all are one task's.
 FOREST_ROWS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -237,13 +237,29 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
+def _rooted(stars: DataFrame) -> DataFrame:
+    """Rows (id, component) of one task's stars (u, v), each root's own among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.setdiff1d(u, seen)
+            seen = np.union1d(seen, new)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v, new])), pa.array(np.concatenate([u, new]))], ["id", "component"])
+
+    return stars.mapInArrow(run, "id long, component long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (id, component) for every id of links (a, b): the smallest id that it reaches.
 
-    Alternates large-star and small-star steps until every edge leads from a root to a leaf of its own; before each step
-    a task's own edges are contracted to a forest, so a step moves no more edges than there are nodes in each task. Each
-    step's edges are written to the shared folder, and the number of steps grows with the logarithm of the longest path.
-    Only whether to go on reaches the driver.
+    Each task's own edges are contracted to a forest. Fewer than FOREST_ROWS edges in all are then contracted once more,
+    by one task, which ends it, as steps over that few rows cost far more in tasks than in work. More edges go through
+    large-star and small-star steps in turn until every edge leads from a root to a leaf of its own, or so few are left;
+    before each step a task's own edges are contracted again, so a step moves no more edges than there are nodes in each
+    task. Each step's edges are written to the shared folder, and the number of steps grows with the logarithm of the
+    longest path. Only the number of edges and whether to go on reach the driver.
     """
     edges = links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v")
     edges = cut(contracted(edges), "edges")
@@ -263,10 +279,14 @@ def components(links: DataFrame) -> DataFrame:
         ends = e.select(F.col("u").alias("id"), F.lit(1).alias("root"), F.lit(0).alias("leaf")).union(e.distinct().select(F.col("v").alias("id"), F.lit(0).alias("root"), F.lit(1).alias("leaf")))
         return ends.groupBy("id").agg(F.max("root").alias("root"), F.sum("leaf").alias("leaf")).filter("leaf > 1 or (root = 1 and leaf = 1)")
 
-    while open_ends(edges).head(1):
+    while not (few := edges.count() < FOREST_ROWS) and open_ends(edges).head(1):
         new = cut(contracted(step(edges)), "edges")
         drop(edges)
         edges = new
+    if few:
+        out = cut(_rooted(contracted(edges.coalesce(1))), "components")
+        drop(edges)
+        return out
     found = edges.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
     roots = edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()
     out = cut(found.union(roots), "components")

@@ -98,6 +98,27 @@ def test_components(spark):
     assert {r.component for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()} == {0}
 
 
+def test_few_links_take_no_steps(spark, monkeypatch):
+    """A chain over many partitions is ended by one task, not by steps that each cost every partition a task; so many
+    links that one task may not hold them still go through the steps."""
+    chain = [(i, i + 1) for i in range(100)] + [(300, 200), (200, 400), (7, 7), (500, 500)]
+    random.Random(5).shuffle(chain)
+    links = spark.createDataFrame(chain, "a long, b long").repartition(16)
+    want = {**{i: 0 for i in range(101)}, 200: 200, 300: 200, 400: 200}
+    written, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df, name: written.append(name) or cut(df, name))
+
+    def got():
+        rows = common.components(links).collect()
+        assert len(rows) == len(want)
+        return {r.id: r.component for r in rows}
+
+    assert got() == want and written == ["edges", "components"]
+    monkeypatch.setattr(common, "FOREST_ROWS", 5)
+    assert got() == want and written.count("edges") > 2
+    assert common.components(links.filter("a = b")).collect() == []
+
+
 def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
     import pyarrow as pa
 
